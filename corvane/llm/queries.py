@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import conversations, percentiles, secrets
+from corvane.llm import conversations, leakage, percentiles, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """The finest cells: any of the coarser ones is a merge of these."""
+    return percentiles.percentiles(table(spark, folder, "calls"), ("feature", "project", "day"), ("feature", "project", "day"))
+
+
+def p1_by_feature(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.percentiles(table(spark, folder, "calls"), ("feature",), ("feature", "day"))
 
 
@@ -43,6 +48,10 @@ def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversations(table(spark, folder, "session_turns"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.found(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 P1_CERTIFIED = """
 WITH plain AS (
   SELECT DISTINCT call_id, regexp_replace(lower(trim(feature)), '[_\\s]+', '-', 'g') AS feature, latency_ms, compression_ratio FROM calls
