@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import conversations, leakage, percentiles, secrets
+from corvane.llm import conversations, leakage, mixing, percentiles, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.found(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.Mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).selection()
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.Mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).shares()
+
+
 P1_CERTIFIED = """
 WITH plain AS (
   SELECT DISTINCT call_id, regexp_replace(lower(trim(feature)), '[_\\s]+', '-', 'g') AS feature, latency_ms, compression_ratio FROM calls
