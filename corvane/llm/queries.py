@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import conversations, leakage, mixing, percentiles, secrets
+from corvane.llm import abuse, conversations, leakage, mixing, origin, percentiles, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,10 @@ def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversations(table(spark, folder, "session_turns"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return origin.found(table(spark, folder, "files"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.found(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -60,6 +64,14 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.Mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).shares()
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.scores(table(spark, folder, "documents"), table(spark, folder, "doc_labels")).where("flagged").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates(abuse.scores(table(spark, folder, "documents"), table(spark, folder, "doc_labels")))
+
+
 P1_CERTIFIED = """
 WITH plain AS (
   SELECT DISTINCT call_id, regexp_replace(lower(trim(feature)), '[_\\s]+', '-', 'g') AS feature, latency_ms, compression_ratio FROM calls
