@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_LABELLED = 20_000  # documents the model is fitted on at most, by hash of the id
-MOST_BACKGROUND = 4_000  # unlabelled documents that show ordinary language, at most, by hash of the id
+MOST_BACKGROUND = 1_500  # unlabelled documents that show ordinary language, at most, by hash of the id
 BAD = ("abusive", "hateful", "sexual")
-THRESHOLD = 0.5
-ROUNDS, EPOCHS, L2, SWAP, BACKGROUND_WEIGHT = 5, 250, 1.0, 1.0, 0.15
+THRESHOLD = 0.3
+ROUNDS, EPOCHS, L2, SWAP, BACKGROUND_WEIGHT = 5, 250, 0.3, 1.0, 0.03
 
 # Letters of other scripts that look like Latin ones, and digits and marks that stand for letters.
 LOOKALIKE = str.maketrans("аеорсухкіїјѕԁһԛԝвмнтгбαεορυνικτχɑɡıⅼ", "aeopcyxkiijsdhqwbmhtrbaeopuviktxagil")

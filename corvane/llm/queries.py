@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import abuse, conversations, leakage, mixing, origin, percentiles, secrets
+from corvane.llm import abuse, conversations, leakage, mixing, origin, parsing, percentiles, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,14 @@ def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversations(table(spark, folder, "session_turns"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.found(table(spark, folder, "files"))
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.rates(table(spark, folder, "files"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return origin.found(table(spark, folder, "files"))
 
