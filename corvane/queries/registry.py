@@ -1,17 +1,428 @@
-"""All queries of the core, each with the SQL that gives the same rows."""
+"""All queries of the core over the test tables, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from corvane.extract import python as py
+from corvane.extract import script as js
+from corvane.extract import units
+from corvane.functions import exprs
+from corvane.operators import budget as fit
+from corvane.operators import calls as metrics
+from corvane.operators import graph as g
+from corvane.operators import sessions
+from corvane.plans import context as capsule
+from corvane.plans import evaluation, questions
+from corvane.sources import files as tree
+from corvane.sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def tree_of(spark: SparkSession, folder: str, text: bool = True) -> DataFrame:
+    """Every snapshot of a repository as a tree of its own, classified by the path rules."""
+    files = table(spark, folder, "files")
+    out = files.select("file_id", F.concat("repo", F.lit("@"), "snapshot").alias("root"), "rel_path", exprs.language(F.col("rel_path")).alias("language"), *(["content"] if text else []), exprs.tokens(F.col("content")).alias("tokens"))
+    out = out.withColumn("role", exprs.role(F.col("rel_path"), F.col("language")))
+    return out.withColumn("text", exprs.text_of(F.col("content"))).drop("content") if text else out
+
+
+def graph_of(spark: SparkSession, folder: str) -> g.Graph:
+    return g.build(tree_of(spark, folder))
+
+
+def seeds_of(graph: g.Graph) -> DataFrame:
+    """One request per tree: the source file that is first in path order."""
+    return graph.files.where("role = 'source'").groupBy("root").agg(F.min("rel_path").alias("src"))
+
+
+# --- SQL parts ---------------------------------------------------------------------------------------------------------
+PLAIN_CALLS = "compression_ratio > 0 AND NOT isnan(compression_ratio) AND candidates_total > 0"
+STATS = f"""count(*) AS calls, count(*) FILTER (has_error) AS errors, count(*) FILTER (limitation_count > 0) AS warnings,
+  coalesce(CAST(trunc(sum(latency_ms) / count(*)) AS BIGINT), 0) AS avg_ms,
+  coalesce(CAST(sum(budget_used) FILTER (budget_used > 0) // count(*) FILTER (budget_used > 0) AS BIGINT), 0) AS avg_tok,
+  coalesce(round(avg(1 / compression_ratio) FILTER ({PLAIN_CALLS}), 6), 0.0) AS ratio,
+  count(*) FILTER (feedback = 'good') AS good, count(*) FILTER (feedback = 'bad') AS bad, min(seq) AS first_seq"""
+LANGUAGES = "CASE lower(regexp_extract(rel_path, '(\\.[^./]*)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in exprs.LANGUAGE_OF_EXTENSION.items()) + " ELSE '' END"
+ROLES = f"""CASE WHEN contains(lower(rel_path), 'generated') OR contains(lower(rel_path), '.gen.') OR lower(rel_path) LIKE '%.pb.go' OR ends_with(lower(rel_path), '_gen.go') OR lower(rel_path) LIKE '%.generated.ts' THEN 'generated'
+  WHEN starts_with(lower(rel_path), 'vendor/') OR contains(lower(rel_path), '/vendor/') THEN 'vendor'
+  WHEN ends_with(lower(rel_path), '_test.go') OR starts_with(parse_filename(rel_path), 'test_') OR regexp_matches(lower(rel_path), '\\.(test|spec)\\.(ts|js)$') OR regexp_matches(lower(rel_path), '/(test|tests|spec|__tests__)/') THEN 'test'
+  WHEN regexp_matches(lower(rel_path), '\\.(tests?|specs?)/') OR regexp_matches(lower(rel_path), '(tests|specs)\\.cs$') THEN 'test'
+  WHEN {LANGUAGES} = 'Markdown' OR regexp_matches(lower(rel_path), '/docs?/') OR parse_filename(rel_path) IN ('README', 'CHANGELOG', 'LICENSE') THEN 'docs'
+  WHEN {LANGUAGES} IN ('YAML', 'TOML', 'JSON') OR ends_with(lower(rel_path), '.env') OR starts_with(parse_filename(rel_path), '.') OR parse_filename(rel_path) IN ('Makefile', 'Dockerfile') THEN 'config'
+  WHEN {LANGUAGES} <> '' THEN 'source' ELSE 'other' END"""
+TREE = f"tree AS (SELECT file_id, repo || '@' || snapshot AS root, rel_path, {LANGUAGES} AS language, {ROLES} AS role, greatest(1, octet_length(content) // 4) AS tokens, TRY(decode(content)) AS text FROM files)"
+DIR = "CASE WHEN contains({0}, '/') THEN regexp_replace({0}, '/[^/]*$', '') ELSE '.' END"
+PY_EDGES = """py_lines AS (SELECT root, rel_path AS src, trim(unnest(regexp_split_to_array(text, '\\r?\\n'))) AS line FROM tree WHERE language = 'Python' AND octet_length(encode(text)) <= 524288),
+py_mods AS (SELECT DISTINCT root, src, coalesce(nullif(regexp_extract(line, '^import\\s+([A-Za-z_][\\w.]*)', 1), ''), nullif(regexp_extract(line, '^from\\s+([A-Za-z_][\\w.]*)\\s+import\\b', 1), '')) AS module FROM py_lines),
+py_cand AS (SELECT DISTINCT root, src, array_to_string(string_split(module, '.')[:i], '/') AS spec FROM py_mods, unnest(generate_series(1, len(string_split(module, '.')))) AS u(i) WHERE module IS NOT NULL),
+py_edges AS (SELECT DISTINCT c.root, c.src, coalesce(a.rel_path, b.rel_path) AS dst FROM py_cand c LEFT JOIN tree a ON a.root = c.root AND a.rel_path = c.spec || '.py' LEFT JOIN tree b ON b.root = c.root AND b.rel_path = c.spec || '/__init__.py' WHERE coalesce(a.rel_path, b.rel_path) IS NOT NULL AND coalesce(a.rel_path, b.rel_path) <> c.src)"""
+
+
+# --- calls (call metrics) ----------------------------------------------------------------------------------------------
+@query(f"SELECT feature, {STATS} FROM calls GROUP BY feature")
+def calls_by_feature(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.by_feature(table(spark, folder, "calls"))
+
+
+@query(f"SELECT {STATS} FROM calls")
+def calls_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.totals(table(spark, folder, "calls"))
+
+
+@query("""SELECT kind, CASE WHEN kind IN ('contextual_trimmed', 'critical_path_over_budget', 'over_budget') THEN 'advisory' ELSE 'quality' END AS class, count(*) AS n, min(seq * 1000 + pos - 1) AS first_at
+FROM (SELECT seq, unnest(limitation_kinds) AS kind, unnest(generate_series(1, len(limitation_kinds))) AS pos FROM calls) GROUP BY kind""")
+def calls_limitation_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.limitation_kinds(table(spark, folder, "calls"))
+
+
+@query("""WITH t AS (SELECT CASE WHEN regexp_matches(ts, '^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:\\d\\d)$') THEN epoch_us(TRY_CAST(ts AS TIMESTAMPTZ)) END AS us FROM calls)
+SELECT min(us) AS first_us, max(us) AS last_us, CAST(round((max(us) // 1000000 - min(us) // 1000000) / 60) AS BIGINT) AS minutes, count(us) AS parsed FROM t""")
+def calls_period(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.period(table(spark, folder, "calls"))
+
+
+@query("SELECT good, bad, CAST(good * 100 // (good + bad) AS BIGINT) AS percent FROM (SELECT count(*) FILTER (feedback = 'good') AS good, count(*) FILTER (feedback = 'bad') AS bad FROM calls) WHERE good + bad > 0")
+def calls_helpful_rate(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.helpful(table(spark, folder, "calls"))
+
+
+CONTENT = "('" + "', '".join(exprs.CONTENT_FEATURES) + "')"
+
+
+@query(f"""WITH c AS (SELECT project, seq, coalesce(feedback, '') <> '' AS rated FROM calls WHERE feature IN {CONTENT}), m AS (SELECT project, coalesce(max(seq) FILTER (rated), -1) AS last FROM c GROUP BY project)
+SELECT m.project, count(c.seq) AS unrated FROM m LEFT JOIN c ON c.project = m.project AND c.seq > m.last GROUP BY m.project""")
+def calls_unrated_tail(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.unrated_tail(table(spark, folder, "calls"), "project")
+
+
+@query("""SELECT seq, call_id, feature, files_included, budget_used, latency_ms, CASE WHEN compression_ratio > 0 AND NOT isnan(compression_ratio) THEN CAST(trunc((1 - compression_ratio) * 100) AS INT) ELSE 0 END AS saved
+FROM calls ORDER BY seq DESC, call_id DESC LIMIT 50""")
+def calls_show_last(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.shown(table(spark, folder, "calls"))
+
+
+@query("""SELECT seq, call_id, feature,
+ CASE WHEN len(seed_files) = 0 THEN '' WHEN len(seed_files) > 1 THEN parse_filename(seed_files[1]) || ' +' || (len(seed_files) - 1) ELSE parse_filename(seed_files[1]) END AS seed,
+ CASE WHEN has_error THEN 'ERROR' WHEN len(limitation_kinds) > 0 THEN array_to_string(limitation_kinds, ',') WHEN limitation_count > 0 THEN CAST(limitation_count AS VARCHAR) ELSE '' END AS note
+FROM calls ORDER BY seq DESC, call_id DESC LIMIT 100""")
+def calls_log_last(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.log_lines(table(spark, folder, "calls"))
+
+
+@query("SELECT call_id, received_at, seq, CASE WHEN seq = (SELECT max(seq) FROM calls) THEN 'good' ELSE feedback END AS feedback FROM calls")
+def calls_rate_last(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.rate_last(table(spark, folder, "calls"), "good", "2024-07-01T00:00:00Z").select("call_id", "received_at", "seq", "feedback")
+
+
+# --- files (classified index) ------------------------------------------------------------------------------------------
+@query(f"SELECT file_id, {LANGUAGES} AS language, {ROLES} AS role, greatest(1, octet_length(content) // 4) AS tokens FROM files")
+def files_classified(spark: SparkSession, folder: str) -> DataFrame:
+    return tree_of(spark, folder, text=True).select("file_id", "language", "role", "tokens")
+
+
+@query(f"WITH {TREE} SELECT root, language, count(*) AS files FROM tree WHERE language <> '' GROUP BY ALL")
+def files_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return tree.languages(tree_of(spark, folder), "root")
+
+
+@query(f"""WITH {TREE}, t AS (SELECT root, string_split(rel_path, '/')[1] AS value, string_split(rel_path, '/') AS walk, role FROM tree)
+SELECT root, value, first(role ORDER BY walk) AS role, count(*) AS files FROM t GROUP BY root, value""")
+def files_top_level(spark: SparkSession, folder: str) -> DataFrame:
+    files = tree_of(spark, folder)
+    parts = F.split("rel_path", "/")
+    return files.groupBy("root", parts[0].alias("value")).agg(F.min(F.struct(parts.alias("w"), F.col("role").alias("r")))["r"].alias("role"), F.count("*").alias("files"))
+
+
+@query(f"""WITH {TREE}, t AS (SELECT root, string_split(rel_path, '/')[1] AS value, string_split(rel_path, '/') AS walk FROM tree WHERE len(string_split(rel_path, '/')) = 2), d AS (SELECT root, value, count(*) AS n, min(walk) AS walk FROM t GROUP BY root, value)
+SELECT root, 'notable_dir' AS section, value, CAST(n AS VARCHAR) AS notes, ord FROM (SELECT *, CAST(row_number() OVER (PARTITION BY root ORDER BY walk) - 1 AS INT) AS ord FROM d) WHERE ord < 12
+UNION ALL SELECT root, 'language', language, CAST(n AS VARCHAR), CAST(row_number() OVER (PARTITION BY root ORDER BY n DESC, language) - 1 AS INT) FROM (SELECT root, language, count(*) AS n FROM tree WHERE language <> '' GROUP BY ALL)
+UNION ALL SELECT root, 'generated_area', dir, '', CAST(row_number() OVER (PARTITION BY root ORDER BY walk) - 1 AS INT) FROM (SELECT root, {DIR.format("rel_path")} AS dir, min(string_split(rel_path, '/')) AS walk FROM tree WHERE role = 'generated' GROUP BY ALL)
+UNION ALL SELECT root, 'config_file', rel_path, '', CAST(row_number() OVER (PARTITION BY root ORDER BY rel_path) - 1 AS INT) FROM tree WHERE role = 'config' AND NOT contains(rel_path, '/')""")
+def overview_sections(spark: SparkSession, folder: str) -> DataFrame:
+    return questions.overview(tree_of(spark, folder)).where("section IN ('notable_dir', 'language', 'generated_area', 'config_file')")
+
+
+@query(f"WITH {TREE} SELECT root, {DIR.format('rel_path')} AS dir, count(*) AS files, sum(tokens)::BIGINT AS tokens FROM tree GROUP BY ALL")
+def files_directories(spark: SparkSession, folder: str) -> DataFrame:
+    return tree_of(spark, folder).groupBy("root", exprs.directory(F.col("rel_path")).alias("dir")).agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"))
+
+
+@query(f"""WITH {TREE}, t AS (SELECT root, rel_path, tokens, sum(tokens) OVER (PARTITION BY root ORDER BY rel_path ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM tree WHERE role = 'test')
+SELECT root, rel_path, CAST(0.5 AS DOUBLE) AS confidence, running FROM t WHERE running <= 4000""")
+def tests_prefix_budget(spark: SparkSession, folder: str) -> DataFrame:
+    return questions.all_tests(tree_of(spark, folder), 4000)
+
+
+@query(f"""WITH {TREE} SELECT root, rel_path, (regexp_matches(lower(parse_filename(rel_path)), '_test\\.go$|^test_|\\.test\\.|\\.spec\\.')) AS by_name, role = 'test' AS by_role FROM tree""")
+def tests_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    return tree_of(spark, folder).select("root", "rel_path", exprs.is_test_name(F.col("rel_path")).alias("by_name"), (F.col("role") == "test").alias("by_role"))
+
+
+# --- budgets -----------------------------------------------------------------------------------------------------------
+@query("""WITH RECURSIVE t AS (SELECT source, doc_id, greatest(1, octet_length(encode(text)) // 4) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IS NOT NULL AND greatest(1, octet_length(encode(text)) // 4) <= 3000),
+w AS (SELECT source, doc_id, tokens, k, true AS included, tokens AS used FROM t WHERE k = 1
+  UNION ALL SELECT t.source, t.doc_id, t.tokens, t.k, w.used + t.tokens <= 3000, CASE WHEN w.used + t.tokens <= 3000 THEN w.used + t.tokens ELSE w.used END FROM w JOIN t ON t.source = w.source AND t.k = w.k + 1)
+SELECT source, doc_id, tokens FROM w WHERE included""")
+def budget_first_fit_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("source IS NOT NULL").select("source", "doc_id", exprs.tokens(F.col("text")).alias("tokens"))
+    return fit.first_fit(docs, ["source"], [F.col("doc_id")], 3000, "tokens").where("included").drop("included")
+
+
+@query("""WITH t AS (SELECT source, doc_id, sum(greatest(1, octet_length(encode(text)) // 4)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents WHERE source IS NOT NULL)
+SELECT source, doc_id, running FROM t WHERE running <= 3000""")
+def budget_prefix_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("source IS NOT NULL").select("source", "doc_id", exprs.tokens(F.col("text")).alias("tokens"))
+    return fit.prefix_fit(docs, ["source"], [F.col("doc_id")], 3000, "tokens").select("source", "doc_id", "running")
+
+
+@query("SELECT source, lang, count(*) AS docs, sum(greatest(1, octet_length(encode(text)) // 4))::BIGINT AS tokens, greatest(0, sum(greatest(1, octet_length(encode(text)) // 4)) - 3000)::BIGINT AS avoided FROM documents GROUP BY ALL")
+def documents_token_sums(spark: SparkSession, folder: str) -> DataFrame:
+    t = exprs.tokens(F.col("text"))
+    return table(spark, folder, "documents").groupBy("source", "lang").agg(F.count("*").alias("docs"), F.sum(t).alias("tokens")).withColumn("avoided", F.greatest(F.col("tokens") - 3000, F.lit(0)))
+
+
+# --- graph -------------------------------------------------------------------------------------------------------------
+@query(f"WITH {TREE}, {PY_EDGES} SELECT root, src, dst FROM py_edges")
+def imports_python(spark: SparkSession, folder: str) -> DataFrame:
+    return py.extract(tree_of(spark, folder))[0].select("root", "src", "dst")
+
+
+@query(f"""WITH {TREE} SELECT DISTINCT root, src, spec FROM (SELECT root, rel_path AS src, unnest(regexp_extract_all(text, '(?m)^\\s*import\\s+(?:type\\s+)?(?:[\\w$*{{][^''"`;]*?\\s+from\\s+)?[''"]([^''"\\n]+)[''"]', 1)) AS spec FROM tree
+WHERE language IN ('JavaScript', 'TypeScript') AND octet_length(encode(text)) <= 1048576) WHERE spec[1] IN ('.', '@', '~', '#')""")
+def import_specifiers_script(spark: SparkSession, folder: str) -> DataFrame:
+    files = tree_of(spark, folder).where("language IN ('JavaScript', 'TypeScript')").where(F.octet_length("text") <= js.MOST_BYTES)
+    return js.specifiers(files)
+
+
+@query(f"""WITH {TREE} SELECT DISTINCT root, src, spec FROM (SELECT root, src, unnest(regexp_extract_all(block, '"([^"\\n]+)"', 1)) AS spec FROM (
+SELECT root, rel_path AS src, unnest(list_concat(regexp_extract_all(text, '(?ms)^import\\s*\\(([^)]*)\\)', 1), regexp_extract_all(text, '(?m)^import\\s+((?:[\\w.]+\\s+)?"[^"\\n]+")', 1))) AS block FROM tree WHERE language = 'Go' AND text IS NOT NULL))""")
+def import_specifiers_go(spark: SparkSession, folder: str) -> DataFrame:
+    return units.go_imports(tree_of(spark, folder))
+
+
+@query(f"""WITH {TREE} SELECT t.root, regexp_extract(t.root, '^([^@]*)', 1) || CASE WHEN d = '.' THEN '' ELSE '/' || d END AS unit_id, count(*) AS files, count(*) FILTER (ends_with(rel_path, '_test.go')) AS tests
+FROM (SELECT *, {DIR.format("rel_path")} AS d FROM tree WHERE language = 'Go') t GROUP BY ALL""")
+def units_go(spark: SparkSession, folder: str) -> DataFrame:
+    return units.go_units(tree_of(spark, folder)).unit_files.groupBy("root", "unit_id").agg(F.count("*").alias("files"), F.count_if("test").alias("tests"))
+
+
+@query(f"""WITH {TREE}, d AS (SELECT root, rel_path, {DIR.format("rel_path")} AS dir, ends_with(rel_path, '_test.go') AS test FROM tree WHERE language = 'Go')
+SELECT a.root, a.rel_path AS src, b.rel_path AS dst, CASE WHEN b.test THEN 'tests' ELSE 'peers' END AS relation FROM d a JOIN d b ON a.root = b.root AND a.dir = b.dir AND a.rel_path <> b.rel_path""")
+def peers_and_tests_go(spark: SparkSession, folder: str) -> DataFrame:
+    files = tree_of(spark, folder)
+    group = units.go_units(files)
+    return g.unit_relations(group, files.where("language = 'Go'").select("root", F.col("rel_path").alias("src"))).where("relation IN ('peers', 'tests')").select("root", "src", "dst", "relation")
+
+
+@query()
+def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
+    graph = graph_of(spark, folder)
+    return graph.edges.groupBy("root", "relation", "source_tool", "authority").agg(F.count("*").alias("edges"))
+
+
+@query()
+def graph_limitations(spark: SparkSession, folder: str) -> DataFrame:
+    return graph_of(spark, folder).limitations
+
+
+@query()
+def related_files(spark: SparkSession, folder: str) -> DataFrame:
+    graph = graph_of(spark, folder)
+    return questions.related(graph, seeds_of(graph))
+
+
+@query()
+def tests_of_files(spark: SparkSession, folder: str) -> DataFrame:
+    graph = graph_of(spark, folder)
+    return questions.tests_of(graph, seeds_of(graph))
+
+
+@query()
+def impact_of_files(spark: SparkSession, folder: str) -> DataFrame:
+    graph = graph_of(spark, folder)
+    return questions.impact(graph, seeds_of(graph))
+
+
+@query()
+def explain_files(spark: SparkSession, folder: str) -> DataFrame:
+    graph = graph_of(spark, folder)
+    return questions.explain(graph, seeds_of(graph))
+
+
+@query()
+def symbols_of_files(spark: SparkSession, folder: str) -> DataFrame:
+    return questions.symbols(tree_of(spark, folder))[0]
+
+
+@query(f"""WITH {TREE} SELECT root, rel_path AS path, unnest(regexp_extract_all(text, '(?m)\\b(?:class|interface|enum|struct|record)\\s+(\\w+)', 1)) AS name FROM tree WHERE language = 'C#' AND text IS NOT NULL""")
+def symbols_csharp(spark: SparkSession, folder: str) -> DataFrame:
+    return questions.symbols(tree_of(spark, folder).where("language = 'C#'"))[0].select("root", "path", "name")
+
+
+def capsules(spark: SparkSession, folder: str) -> capsule.Capsule:
+    """One request per tree: the directory of its first source file, 2000 tokens."""
+    graph = graph_of(spark, folder)
+    seeds = seeds_of(graph)
+    requests = seeds.select("root", F.col("root").alias("request"), exprs.directory(F.col("src")).alias("name"), F.lit(2000).alias("budget"))
+    return capsule.context(graph, requests)
+
+
+@query()
+def context_capsules(spark: SparkSession, folder: str) -> DataFrame:
+    return capsules(spark, folder).rows.drop("content")
+
+
+@query()
+def context_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    return capsules(spark, folder).summary
+
+
+@query()
+def context_within_budget(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.within_budget(capsules(spark, folder).summary)
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'n' || c_nationkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+w AS (SELECT 'r0' AS node, 0 AS steps UNION SELECT e.src, w.steps + 1 FROM w JOIN e ON e.dst = w.node) SELECT node, min(steps) AS steps FROM w GROUP BY node""")
+def closure_foreign_keys(spark: SparkSession, folder: str) -> DataFrame:
+    t = lambda n: table(spark, folder, n)
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(key("c", "o_custkey").alias("src"), key("n", "c_nationkey").alias("dst")).distinct()
+    edges = edges.unionByName(t("supplier").select(key("s", "s_suppkey").alias("src"), key("n", "s_nationkey").alias("dst"))).unionByName(t("nation").select(key("n", "n_nationkey").alias("src"), key("r", "n_regionkey").alias("dst")))
+    back = edges.select(F.lit("tpch").alias("root"), F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return g.closure(back, spark.createDataFrame([("tpch", "r0")], "root string, src string")).select("node", "steps")
+
+
+@query("""WITH s AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey <= 50) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey),
+c AS (SELECT src, dst, 1 AS p FROM s UNION ALL SELECT a.p_partkey, b.p_partkey, 2 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey WHERE a.p_partkey <= 50)
+SELECT src, dst, min(p) AS priority FROM c GROUP BY ALL""")
+def priority_match_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """For each requested part (the first fifty are the request) the parts sold with it, else those of its brand and type."""
+    lines, part = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey").distinct(), table(spark, folder, "part")
+    seeds = lines.where("l_partkey <= 50").withColumnRenamed("l_partkey", "src")
+    sold = seeds.join(lines.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("src <> dst").select("src", "dst", F.lit(1).alias("p"))
+    like = part.where("p_partkey <= 50").select(F.col("p_partkey").alias("src"), "p_brand", "p_type").join(part.select(F.col("p_partkey").alias("dst"), "p_brand", "p_type"), ["p_brand", "p_type"]).where("src <> dst").select("src", "dst", F.lit(2).alias("p"))
+    return sold.unionByName(like).groupBy("src", "dst").agg(F.min("p").alias("priority"))
+
+
+# --- failures ----------------------------------------------------------------------------------------------------------
+@query("""WITH l AS (SELECT doc_id AS log_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents WHERE source = 'failure_log'),
+f AS (SELECT log_id, line_no, 0 AS rank, unnest(regexp_extract_all(line, '([a-zA-Z0-9_/\\-.]+\\.go):(\\d+)', 1)) AS value, CAST(0.9 AS DOUBLE) AS confidence, 'file' AS kind FROM l
+ UNION ALL SELECT log_id, line_no, 1, unnest(regexp_extract_all(line, '--- FAIL:\\s+(\\S+)', 1)), 0.95, 'test' FROM l
+ UNION ALL SELECT log_id, line_no, 2, unnest(regexp_extract_all(line, 'File "([^"]+\\.py)", line (\\d+)', 1)), 0.85, 'file' FROM l),
+o AS (SELECT log_id, kind, value, arg_min(confidence, line_no * 10 + rank) AS confidence, min(line_no) AS line_no FROM f GROUP BY ALL)
+SELECT log_id, kind, value, confidence, line_no FROM o UNION ALL SELECT log_id, 'panic', trim(line), 0.8, line_no FROM l WHERE starts_with(trim(line), 'panic:')""")
+def failure_log_signals(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("source = 'failure_log'").select(F.col("doc_id").alias("log_id"), "text")
+    return logs.failure_signals(docs).select("log_id", "kind", "value", "confidence", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+@query()
+def failure_suspects(spark: SparkSession, folder: str) -> DataFrame:
+    files = tree_of(spark, folder)
+    roots = files.groupBy(F.substring_index("root", "@", 1).alias("repo")).agg(F.min("root").alias("root"))
+    docs = table(spark, folder, "documents").where("source = 'failure_log'").join(roots, "repo").select("root", F.col("doc_id").alias("log_id"), "text")
+    return questions.failure_context(files, docs)[1]
+
+
+@query()
+def verify_commands(spark: SparkSession, folder: str) -> DataFrame:
+    graph = graph_of(spark, folder)
+    return questions.verify_plan(graph.files, seeds_of(graph))
+
+
+# --- sessions ----------------------------------------------------------------------------------------------------------
+TURNS = "(SELECT DISTINCT lower(trim(session_id)) AS session_id, uuid, role, ts FROM session_turns)"
+
+
+@query(f"""WITH e AS (SELECT session_id, uuid, min(role) AS role, min(nullif(ts, '')) AS lo, max(nullif(ts, '')) AS hi FROM {TURNS} GROUP BY ALL)
+SELECT session_id, min(lo) AS first_ts, max(hi) AS last_ts, count(*) FILTER (role IN ('user', 'assistant')) AS turns FROM e GROUP BY ALL""")
+def session_facts(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "session_turns")
+    return sessions.facts(turns.withColumn("session_id", F.lower(F.trim("session_id"))))
+
+
+def event_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as the blocks of one user's session: a view is a call, a purchase an edit, each an entry of its own."""
+    e = table(spark, folder, "events")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return e.select(F.col("user_id").cast("string").alias("session_id"), (F.row_number().over(order) - 1).alias("entry_idx"), F.lit(0).alias("block_idx"), F.when(F.col("event_type") == "signup", "user").otherwise("assistant").alias("role"), F.when(F.col("event_type") == "purchase", "Edit").otherwise("Bash").alias("tool"), F.when(F.col("event_type") == "view", F.concat(F.lit("tool context --files=d/f"), (F.col("event_id") % 7).cast("string"))).alias("command"), F.concat(F.lit("f"), (F.col("event_id") % 5).cast("string")).alias("file"), F.col("event_type").alias("text"))
+
+
+EVENT_CTE = """b AS (SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS entry_idx, event_type, event_id, sum(CASE WHEN event_type <> 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS turn FROM events),
+n AS (SELECT *, min(CASE WHEN event_type = 'view' THEN entry_idx END) OVER w AS next_call, min(CASE WHEN event_type = 'purchase' THEN entry_idx END) OVER w AS next_edit, min(CASE WHEN event_type = 'view' THEN turn END) OVER w AS call_turn, min(CASE WHEN event_type = 'purchase' THEN turn END) OVER w AS edit_turn FROM b WINDOW w AS (PARTITION BY session_id ORDER BY entry_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"""
+
+
+@query(f"""WITH {EVENT_CTE} SELECT session_id, entry_idx, next_edit IS NOT NULL AND (next_call IS NULL OR next_edit < next_call) AS edit_after,
+CASE WHEN next_edit IS NOT NULL AND (next_call IS NULL OR next_edit < next_call) THEN CAST(edit_turn - turn AS INT) ELSE -1 END AS turns_to_edit, CASE WHEN next_call IS NOT NULL THEN CAST(call_turn - turn AS INT) ELSE -1 END AS turns_to_call FROM n WHERE event_type = 'view'""")
+def call_signals_events(spark: SparkSession, folder: str) -> DataFrame:
+    return sessions.signals(sessions.events(event_blocks(spark, folder), "tool")).select("session_id", "entry_idx", "edit_after", "turns_to_edit", "turns_to_call")
+
+
+@query(f"""WITH {EVENT_CTE}, p AS (SELECT session_id, entry_idx, 'f' || (event_id % 5) AS file, max(CASE WHEN event_type = 'view' THEN entry_idx END) OVER (PARTITION BY session_id ORDER BY entry_idx ROWS UNBOUNDED PRECEDING) AS owner, event_type FROM b),
+f AS (SELECT session_id, owner AS entry_idx, file, min(entry_idx) AS first_at FROM p WHERE event_type = 'purchase' AND owner IS NOT NULL GROUP BY ALL)
+SELECT session_id, entry_idx, array_to_string(list(file ORDER BY first_at), ',') AS files_edited FROM f GROUP BY ALL""")
+def files_edited_events(spark: SparkSession, folder: str) -> DataFrame:
+    found = sessions.events(event_blocks(spark, folder), "tool")
+    return sessions.edited_between(found, found).select("session_id", "entry_idx", F.array_join("files_edited", ",").alias("files_edited"))
+
+
+@query(f"""WITH {EVENT_CTE}, c AS (SELECT session_id, entry_idx, event_id % 7 AS f FROM b WHERE event_type = 'view') SELECT session_id, entry_idx, coalesce(f = lead(f) OVER (PARTITION BY session_id ORDER BY entry_idx), false) AS retry_after FROM c""")
+def call_retries_events(spark: SparkSession, folder: str) -> DataFrame:
+    return sessions.retries(sessions.events(event_blocks(spark, folder), "tool")).select("session_id", "entry_idx", "retry_after")
+
+
+@query(f"""WITH {EVENT_CTE} SELECT c.session_id, c.entry_idx, string_agg(x.event_type, ',' ORDER BY x.entry_idx) AS excerpt FROM n c JOIN b x ON x.session_id = c.session_id AND x.entry_idx BETWEEN c.entry_idx - 3 AND c.entry_idx + 3 AND (c.next_call IS NULL OR x.entry_idx < c.next_call)
+WHERE c.event_type = 'view' GROUP BY ALL""")
+def call_excerpts_events(spark: SparkSession, folder: str) -> DataFrame:
+    entries = event_blocks(spark, folder).select("session_id", "entry_idx", "role", F.col("text").alias("preview"), F.col("command").isNotNull().alias("is_call"))
+    return sessions.excerpts(entries).select("session_id", "entry_idx", F.array_join(F.transform("excerpt", lambda x: x["preview"]), ",").alias("excerpt"))
+
+
+@query()
+def session_analysis_events(spark: SparkSession, folder: str) -> DataFrame:
+    return sessions.analysis_pack(event_blocks(spark, folder), "tool")
+
+
+# --- evaluation --------------------------------------------------------------------------------------------------------
+@query("SELECT l_returnflag AS key, count(DISTINCT l_linestatus || '|' || l_quantity) AS rows_seen, true AS passed FROM lineitem GROUP BY ALL")
+def stable_result_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest of a result does not depend on how its rows are partitioned."""
+    rows = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("key"), "l_linestatus", "l_quantity").distinct()
+    runs = evaluation.result_hash(rows, "key").unionByName(evaluation.result_hash(rows.repartition(5), "key"))
+    return rows.groupBy("key").agg(F.count("*").alias("rows_seen")).join(evaluation.stable(runs, "key").select("key", "passed"), "key")
+
+
+@query("SELECT sha256(CAST(doc_id AS VARCHAR) || '|' || text) AS digest, doc_id FROM documents")
+def documents_digest(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), 256).alias("digest"), "doc_id")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -1,0 +1,101 @@
+"""File trees as tables: walk, ignore rules, classification, marker files."""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.functions import exprs
+
+# Directories no walk enters.
+SKIPPED = (".git", ".hg", ".svn", "node_modules", "vendor", "dist", "build", "out", "target", "bin", "obj", ".idea", ".vscode", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".next", "coverage")
+# Files that show a build or test system, at the root or anywhere.
+BUILD_ROOT = {"Go Modules": ("go.mod",), "npm": ("package.json",), "Cargo": ("Cargo.toml",), "Maven": ("pom.xml",), "Gradle": ("build.gradle", "build.gradle.kts"), "Make": ("Makefile", "makefile", "GNUmakefile"), "CMake": ("CMakeLists.txt",), "Bazel": ("BUILD", "WORKSPACE", "MODULE.bazel"), "Poetry": ("pyproject.toml",), "Pipenv": ("Pipfile",), "pip": ("requirements.txt", "setup.py", "setup.cfg"), "Bundler": ("Gemfile",), "Composer": ("composer.json",), "Mix": ("mix.exs",), "sbt": ("build.sbt",), "Docker": ("Dockerfile",), "Docker Compose": ("docker-compose.yml", "docker-compose.yaml"), "MSBuild": ("global.json", "Directory.Build.props", "Directory.Build.targets", "NuGet.Config")}
+BUILD_DEEP = {"Vite": ("vite.config.ts", "vite.config.js", "vite.config.mts", "vite.config.mjs"), "Next.js": ("next.config.js", "next.config.ts", "next.config.mjs"), "Webpack": ("webpack.config.js", "webpack.config.ts", "webpack.config.mjs"), "Rollup": ("rollup.config.js", "rollup.config.ts", "rollup.config.mjs"), "Turbo": ("turbo.json",), "Electron": ("electron-builder.yml", "electron-builder.json"), "Nx": ("nx.json",)}
+TEST_ROOT = {"pytest": ("pytest.ini", "pyproject.toml", "setup.cfg"), "Jest": ("jest.config.js", "jest.config.ts", "jest.config.mjs"), "Vitest": ("vitest.config.ts", "vitest.config.js"), "RSpec": (".rspec",), "Mocha": (".mocharc.js", ".mocharc.yml", ".mocharc.yaml"), "PHPUnit": ("phpunit.xml", "phpunit.xml.dist")}
+TEST_DEEP = {"Playwright": ("playwright.config.ts", "playwright.config.js", "playwright.config.mjs"), "Cypress": ("cypress.config.ts", "cypress.config.js"), "Vitest": ("vitest.config.ts", "vitest.config.js")}
+
+
+def not_skipped(path: Column) -> Column:
+    parts = F.split(path, "/")
+    return ~F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(d) for d in SKIPPED])) | (F.size(parts) == 1)
+
+
+def ignore_patterns(root: str, name: str = ".gitignore") -> list[str]:
+    """The patterns of a root's ignore file: trimmed, without blanks and comments; no negation."""
+    path = os.path.join(root, name)
+    if not os.path.exists(path):
+        return []
+    with open(path, encoding="utf-8", errors="replace") as lines:
+        return [p for p in (line.strip() for line in lines) if p and not p.startswith("#")]
+
+
+def glob(text: Column, pattern: str) -> Column:
+    """One * is prefix and suffix; of several only the part before the first counts; no other wildcards."""
+    if "*" not in pattern:
+        return text == pattern
+    head, _, tail = pattern.partition("*")
+    if "*" in tail:
+        return F.startswith(text, F.lit(head))
+    return F.startswith(text, F.lit(head)) & F.endswith(text, F.lit(tail)) & (F.length(text) >= len(head) + len(tail))
+
+
+def ignored(path: Column, patterns: Iterable[str]) -> Column:
+    """Whether any pattern matches the path or, for directories, one of its ancestors."""
+    out = F.lit(False)
+    for pattern in patterns:
+        if pattern.endswith("/"):
+            bare = pattern.strip("/")
+            out = out | F.startswith(path, F.lit(bare + "/")) | F.contains(path, F.lit("/" + bare + "/"))
+        elif "/" not in pattern:
+            out = out | F.exists(F.split(path, "/"), lambda part, p=pattern: glob(part, p))
+        elif pattern.startswith("/"):
+            out = out | glob(path, pattern[1:]) | F.startswith(path, F.lit(pattern[1:] + "/"))
+        else:
+            out = out | glob(path, pattern) | F.endswith(path, F.lit("/" + pattern))
+    return out
+
+
+def scan(spark: SparkSession, root: str, patterns: Iterable[str] | None = None) -> DataFrame:
+    """path, root, rel_path, size, language, role, tokens, content of a tree. Unreadable files are left out.
+
+    ``binaryFile`` keeps every byte; reading whole texts would drop a final line end and with it shift token counts.
+    """
+    base = root.rstrip("/")
+    patterns = ignore_patterns(base) if patterns is None else list(patterns)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(base)
+    rel = F.substring_index("path", base + "/", -1)
+    kept = raw.withColumn("rel_path", rel).where(not_skipped(F.col("rel_path")) & ~ignored(F.col("rel_path"), patterns))
+    return classify(kept.select(F.lit(base).alias("root"), F.concat(F.lit(base + "/"), F.col("rel_path")).alias("path"), "rel_path", F.col("length").alias("size"), "content"))
+
+
+def classify(files: DataFrame) -> DataFrame:
+    lang = exprs.language(F.col("rel_path"))
+    return files.withColumn("language", lang).withColumn("role", exprs.role(F.col("rel_path"), F.col("language"))).withColumn("tokens", exprs.tokens(F.col("content"))).withColumn("text", exprs.text_of(F.col("content")))
+
+
+def systems(files: DataFrame, at_root: dict, deep: dict, go_test: bool = False) -> DataFrame:
+    """root, name, phase, in the order root systems, deep ones not yet named, Go test."""
+    spark = files.sparkSession
+    rows = [(f, name, 0) for name, fs in at_root.items() for f in fs] + [(f, name, 1) for name, fs in deep.items() for f in fs]
+    marks = spark.createDataFrame(rows, "marker string, name string, phase int")
+    named = files.select("root", "rel_path", exprs.base_name(F.col("rel_path")).alias("marker"))
+    hits = named.join(F.broadcast(marks), "marker").where("phase = 1 OR instr(rel_path, '/') = 0").select("root", "name", "phase")  # a fixed table
+    if go_test:
+        hits = hits.unionByName(files.where(F.endswith("rel_path", F.lit("_test.go"))).select("root", F.lit("Go test").alias("name"), F.lit(2).alias("phase")).distinct())
+    return hits.groupBy("root", "name").agg(F.min("phase").alias("phase"))
+
+
+def build_systems(files: DataFrame) -> DataFrame:
+    return systems(files, BUILD_ROOT, BUILD_DEEP)
+
+
+def test_systems(files: DataFrame) -> DataFrame:
+    return systems(files, TEST_ROOT, TEST_DEEP, go_test=True)
+
+
+def languages(files: DataFrame, *keys: str) -> DataFrame:
+    return files.where("language <> ''").groupBy(*keys, "language").agg(F.count("*").alias("files"))
