@@ -2,7 +2,9 @@
 
 Both operations are a min-aggregate per node and a join back, so a hub is pre-aggregated map-side and its edges may be
 split by the adaptive skew join; no adjacency list is ever built. Each round's edges are stored in the shared folder.
-Rounds end when the edges are stars: no centre is linked on and every other node has one link.
+After each round the leaves are set aside: a node with a single link, to a smaller node, and none that links to it, has the
+component of that node whatever happens to it. So each edge takes part only until it is settled, and rounds end when none
+is left; the leaves are then resolved backwards, one join per round.
 
 Cases: loops and repeated edges are ignored; an empty table gives no rows; null ends are dropped.
 """
@@ -38,19 +40,36 @@ def connected_components(edges: DataFrame, stored: Stored, most_rounds: int = 60
     a, b = edges.columns[:2]
     current = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
     current, path = stored.table(current.distinct())
+    leaves: list[DataFrame] = []
     for _ in range(most_rounds):
-        if stars(current):
-            break
-        following, next_path = stored.table(small_star(large_star(current)).distinct())
+        marked, next_path = stored.table(with_leaves(small_star(large_star(current)).distinct()))
         stored.drop(path)
-        current, path = following, next_path
+        leaves.append(marked.where("leaf").select("u", "v"))
+        current, path = marked.where("NOT leaf").select("u", "v"), ""
+        if current.isEmpty():
+            break
+        current, path = stored.table(current)
     else:
         raise RuntimeError(f"components not stable after {most_rounds} rounds")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    labels = None
+    for level in reversed(leaves):
+        own = level.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        if labels is None:
+            labels = own
+        else:
+            above = labels.select(F.col("node").alias("v"), F.col("component").alias("higher"))
+            resolved = level.join(above, "v", "left").select(F.col("u").alias("node"), F.coalesce("higher", "v").alias("component"))
+            labels = labels.unionByName(resolved)
+        labels, _ = stored.table(labels) if level is not leaves[0] else (labels, "")
+    return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
 
 
-def stars(edges: DataFrame) -> bool:
-    """Whether every node either is a centre or has a single link, to a centre: then nodes with a link both ways are none."""
-    out = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("up"))
+def with_leaves(edges: DataFrame) -> DataFrame:
+    """u, v, leaf: whether u has this link only and none links to u."""
+    up = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("up"), F.min("v").alias("v"))
     centres = edges.select(F.col("v").alias("node")).distinct().withColumn("down", F.lit(True))
-    return out.join(centres, "node", "left").where("up > 1 OR down").isEmpty()
+    judged = up.join(centres, "node", "left")
+    single = judged.where("up = 1").select(F.col("node").alias("u"), "v", F.col("down").isNull().alias("leaf"))
+    several = judged.where("up > 1").select(F.col("node").alias("u"))
+    # a node with one link needs no second look at its edges
+    return single.unionByName(edges.join(several, "u", "left_semi").withColumn("leaf", F.lit(False)))

@@ -55,7 +55,7 @@ def parsed_time(ts: Column) -> Column:
 
 
 def entries(turns: DataFrame) -> DataFrame:
-    """One row per entry: sid, uuid, id, parent (null for a first entry), kind, content (0/1), at (microseconds)."""
+    """One row per entry: sid, uuid, s (session), id, parent (null for a first entry), kind, content (0/1), at (microseconds)."""
     rows = turns.select(
         session_name(F.col("session_id")).alias("sid"),
         F.coalesce("uuid", F.concat(F.lit("row:"), F.col("turn_id").cast("string"))).alias("uuid"),
@@ -64,8 +64,10 @@ def entries(turns: DataFrame) -> DataFrame:
         (has_text(F.col("content_preview")) | has_text(F.col("tool"))).cast("int").alias("content"),
         parsed_time(F.col("ts")).alias("at"),
     )
-    rows = rows.select("sid", "uuid", F.xxhash64("sid", "uuid").alias("id"), F.when(F.col("parent").isNotNull(), F.xxhash64("sid", "parent")).alias("parent"), "kind", "content", "at")
-    return rows.groupBy("sid", "uuid", "id").agg(F.min("parent").alias("parent"), F.min("kind").alias("kind"), F.max("content").alias("content"), F.min("at").alias("at"))
+    rows = rows.select("sid", "uuid", F.when(F.col("parent").isNotNull(), F.xxhash64("sid", "parent")).alias("parent"), "kind", "content", "at")
+    once = rows.groupBy("sid", "uuid").agg(F.min("parent").alias("parent"), F.min("kind").alias("kind"), F.max("content").alias("content"), F.min("at").alias("at"))
+    # from here on 64-bit hashes stand for sessions and entries
+    return once.select("sid", "uuid", F.xxhash64("sid").alias("s"), F.xxhash64("sid", "uuid").alias("id"), "parent", "kind", "content", "at")
 
 
 def reply_components(found: DataFrame, stored: Stored) -> DataFrame:
@@ -75,11 +77,11 @@ def reply_components(found: DataFrame, stored: Stored) -> DataFrame:
 
 
 def session_facts(found: DataFrame, components: DataFrame) -> DataFrame:
-    """Per session: entries, first entries, whether all lie in one component, whether a kind is unknown, time range."""
-    labelled = found.join(components, found["id"] == components["node"], "left").withColumn("component", F.coalesce("component", "id"))
-    return labelled.groupBy("sid").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("parent").isNull()).alias("firsts"),
+    """Per session: first entries, whether all lie in one component, whether a kind is unknown, turns with content."""
+    own = found.select("s", "id", F.col("parent").isNull().alias("first"), "kind", "content")
+    labelled = own.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return labelled.groupBy("s").agg(
+        F.count_if("first").alias("firsts"),
         (F.min("component") != F.max("component")).alias("split"),
         F.bool_or(F.col("kind").isNull()).alias("unknown"),
         F.max(F.when(F.col("kind") == USER, F.col("content")).otherwise(0)).alias("user"),
@@ -103,59 +105,61 @@ def depths(found: DataFrame, stored: Stored, most_rounds: int = 60) -> DataFrame
 
 def ordered(found: DataFrame, whole: DataFrame, stored: Stored) -> DataFrame:
     """Entries of the sessions in ``whole`` (reached from one first entry), with ``pos``: rises along every reply."""
-    kept = found.join(whole.select("sid"), "sid", "left_semi")
+    kept = found.select("s", "id", "parent", "kind", "content", "at").join(whole.select("s"), "s", "left_semi")
     above = kept.select(F.col("id").alias("parent"), F.col("at").alias("before"))
-    rising = kept.join(above, "parent", "left").groupBy("sid").agg(F.bool_and(F.col("at").isNotNull() & (F.col("parent").isNull() | F.coalesce(F.col("before") < F.col("at"), F.lit(False)))).alias("timed"))
-    # two entries at one time have no order by time alone; with strictly rising replies that needs a fork
-    forks = kept.where("parent is not null").groupBy("sid", "parent").agg(F.count("*").alias("replies")).groupBy("sid").agg((F.max("replies") > 1).alias("forked"))
-    timed = rising.join(forks, "sid", "left").select("sid", (F.col("timed") & ~F.coalesce("forked", F.lit(False))).alias("timed"))
-    marked, _ = stored.table(kept.join(timed, "sid"))
+    rises = F.col("at").isNotNull() & (F.col("parent").isNull() | F.coalesce(F.col("before") < F.col("at"), F.lit(False)))
+    # per parent first: several replies to one entry have no order by time alone
+    replies = kept.join(above, "parent", "left").groupBy("s", "parent").agg(F.bool_and(rises).alias("rises"), F.count("*").alias("n"))
+    timed = replies.groupBy("s").agg((F.bool_and("rises") & (F.max("n") <= 1)).alias("timed"))
+    marked, _ = stored.table(kept.join(timed, "s"))
     odd = marked.where("not timed")
-    by_time = marked.where("timed").select("sid", "uuid", "id", "kind", "content", F.col("at").alias("pos"), F.lit(0).cast("bigint").alias("tie"))
-    by_depth = odd.join(depths(odd, stored), "id").select("sid", "uuid", "id", "kind", "content", F.col("depth").alias("pos"), F.coalesce("at", F.lit(0)).alias("tie"))
+    by_time = marked.where("timed").select("s", "id", "kind", "content", F.col("at").alias("pos"), F.lit(0).cast("bigint").alias("tie"))
+    by_depth = odd.join(depths(odd, stored), "id").select("s", "id", "kind", "content", F.col("depth").alias("pos"), F.coalesce("at", F.lit(0)).alias("tie"))
     return by_time.unionByName(by_depth)
 
 
-def blocked(placed: DataFrame, facts: DataFrame) -> DataFrame:
+def blocked(placed: DataFrame) -> DataFrame:
     """With ``block``: parts of a session in its order, of BLOCK entries on average; a short session is one block."""
-    ranges = placed.groupBy("sid").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("size"))
+    ranges = placed.groupBy("s").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("size")).where(F.col("size") > BLOCK)
     share = (F.col("pos") - F.col("first_pos")) / (F.col("last_pos") - F.col("first_pos") + 1)
-    return placed.join(ranges, "sid").withColumn("block", F.floor(share * F.ceil(F.col("size") / BLOCK))).drop("first_pos", "last_pos", "size")
+    # only sessions longer than a block have a range here: few rows
+    return placed.join(ranges, "s", "left").withColumn("block", F.coalesce(F.floor(share * F.ceil(F.col("size") / BLOCK)), F.lit(0))).drop("first_pos", "last_pos", "size")
 
 
-def unanswered(placed: DataFrame, facts: DataFrame) -> DataFrame:
+def unanswered(placed: DataFrame) -> DataFrame:
     """Sessions in which a user turn with content has no assistant turn with content before the next one or the end."""
-    turns = blocked(placed.where((F.col("content") == 1) & F.col("kind").isin(USER, ASSISTANT)), facts)
-    inside = Window.partitionBy("sid", "block").orderBy("pos", "tie", "uuid")
+    turns = blocked(placed.where((F.col("content") == 1) & F.col("kind").isin(USER, ASSISTANT)))
+    inside = Window.partitionBy("s", "block").orderBy("pos", "tie", "id")
     following = turns.withColumn("next_kind", F.lead("kind").over(inside)).withColumn("rank", F.row_number().over(inside))
     # of a block only its first kind, its last kind and whether it holds an open question inside go on
-    ends = following.groupBy("sid", "block").agg(
+    ends = following.groupBy("s", "block").agg(
         F.max(F.when(F.col("rank") == 1, F.col("kind"))).alias("first_kind"),
         F.max(F.when(F.col("next_kind").isNull(), F.col("kind"))).alias("last_kind"),
         F.bool_or((F.col("kind") == USER) & F.coalesce(F.col("next_kind") == USER, F.lit(False))).alias("open"),
     )
-    over = Window.partitionBy("sid").orderBy("block")
-    after = ends.withColumn("next_first", F.lead("first_kind").over(over))
-    return after.groupBy("sid").agg(F.bool_or(F.col("open") | ((F.col("last_kind") == USER) & (F.coalesce("next_first", F.lit(USER)) == USER))).alias("open")).where("open").select("sid")
+    after = ends.withColumn("next_first", F.lead("first_kind").over(Window.partitionBy("s").orderBy("block")))
+    return after.groupBy("s").agg(F.bool_or(F.col("open") | ((F.col("last_kind") == USER) & (F.coalesce("next_first", F.lit(USER)) == USER))).alias("open")).where("open").select("s")
 
 
-def sessions(turns: DataFrame, keep: bool) -> tuple[DataFrame, DataFrame]:
-    """(sid, reason) of the sessions to drop, and the ordered entries of all sessions that are reached as a whole."""
+def sessions(turns: DataFrame, keep: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sid, s, reason) of the sessions to drop, the ordered entries of the others (and maybe more), and all entries."""
     stored = Stored(turns.sparkSession)
     found, _ = stored.table(entries(turns))
     facts, _ = stored.table(session_facts(found, reply_components(found, stored)))
     broken = F.col("unknown") | F.col("split") | (F.col("firsts") != 1)
     empty = (F.col("user") == 0) | (F.col("assistant") == 0)
     # only where nothing else speaks against a session does its order matter
-    whole = facts.where(~broken if keep else ~broken & ~empty)
-    placed, _ = stored.table(ordered(found, whole, stored))
-    lost = facts.where(broken | empty).select("sid", F.when(broken, "broken").otherwise("empty").alias("reason"))
-    open_ones = unanswered(placed, facts).join(lost, "sid", "left_anti").select("sid", F.lit("unanswered").alias("reason"))
-    return lost.unionByName(open_ones), placed
+    placed = ordered(found, facts.where(~broken & ~empty), stored)
+    if keep:
+        placed, _ = stored.table(placed)
+    lost = facts.where(broken | empty).select("s", F.when(broken, "broken").otherwise("empty").alias("reason"))
+    reasons = lost.unionByName(unanswered(placed).select("s", F.lit("unanswered").alias("reason")))
+    names = found.select("s", "sid").join(reasons.select("s"), "s", "left_semi").distinct()
+    return reasons.join(names, "s").select("sid", "s", "reason"), placed, found
 
 
 def dropped_sessions(turns: DataFrame) -> DataFrame:
-    return sessions(turns, keep=False)[0]
+    return sessions(turns, keep=False)[0].select("sid", "reason")
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -163,14 +167,15 @@ def conversations(turns: DataFrame) -> DataFrame:
 
     ``position`` counts from 1 through the session; a turn has the previews of its blocks, in order, and its tools.
     """
-    drop, placed = sessions(turns, keep=True)
-    good = placed.where(F.col("kind").isin(USER, ASSISTANT)).join(drop.select("sid"), "sid", "left_anti")
-    parts = blocked(good, None)
-    inside = Window.partitionBy("sid", "block").orderBy("pos", "tie", "uuid")
+    drop, placed, found = sessions(turns, keep=True)
+    good = placed.where(F.col("kind").isin(USER, ASSISTANT)).join(drop.select("s"), "s", "left_anti")
+    parts = blocked(good)
+    inside = Window.partitionBy("s", "block").orderBy("pos", "tie", "id")
     numbered = parts.withColumn("rank", F.row_number().over(inside))
-    sizes = parts.groupBy("sid", "block").agg(F.count("*").alias("m"))
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("m").over(Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed_turns = numbered.join(offsets.select("sid", "block", "offset"), ["sid", "block"]).select("sid", "uuid", "kind", (F.col("offset") + F.col("rank")).alias("position"))
+    sizes = parts.groupBy("s", "block").agg(F.count("*").alias("m"))
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("m").over(Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    positions = numbered.join(offsets.select("s", "block", "offset"), ["s", "block"]).select("id", (F.col("offset") + F.col("rank")).alias("position"))
+    placed_turns = positions.join(found.select("id", "sid", "uuid", "kind"), "id").select("sid", "uuid", "kind", "position")
     texts = turns.select(session_name(F.col("session_id")).alias("sid"), F.coalesce("uuid", F.concat(F.lit("row:"), F.col("turn_id").cast("string"))).alias("uuid"), "block_idx", "content_preview", "tool").distinct()
     blocks = texts.groupBy("sid", "uuid").agg(F.array_sort(F.collect_list(F.struct("block_idx", "content_preview", "tool"))).alias("b"))
     return placed_turns.join(blocks, ["sid", "uuid"]).select(
