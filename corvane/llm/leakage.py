@@ -12,7 +12,7 @@ A sentence that ``STOCK_ITEMS`` or more items share word for word is a stock ins
 
 Cases: null and empty texts have no words; an item of fewer than ``least`` own words never matches; repeated documents are
 reported each; repeated item ids with one text count once; case, punctuation, spacing, line breaks and prefixes, markup,
-entities and escapes are no words. Very long texts are handled whole. Columns beside id and text are ignored.
+entities and escapes are no words. Words dropped at the ends of a passage count as edits like those within it. Very long texts are handled whole. Columns beside id and text are ignored.
 """
 
 from __future__ import annotations
