@@ -123,7 +123,7 @@ def ratio_cut(x: Column) -> Column:
 
 def segments(command: Column) -> Column:
     """The commands of a shell line, split at && || ; and line ends, not at a pipe."""
-    return F.transform(F.split(F.regexp_replace(command, r"&&|\|\||;", "\n"), "\n"), F.trim)
+    return F.transform(F.split(F.regexp_replace(command, r"&&|\|\||;", "\n"), "\n"), lambda s: F.trim(s))
 
 
 def calls_tool(command: Column, tool: str) -> Column:
@@ -133,7 +133,7 @@ def calls_tool(command: Column, tool: str) -> Column:
 def seeds_of(command: Column) -> Column:
     """The files a command names after --files."""
     given = F.coalesce(F.nullif(F.regexp_extract(command, r"--files=(.*)", 1), F.lit("")), F.regexp_extract(command, r"--files (.*)", 1))
-    return F.filter(F.transform(F.split(F.split(given, " --")[0], ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.split(given, " --")[0], ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def run_command(path: Column, systems: Sequence[str] = ()) -> Column:

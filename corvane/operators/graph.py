@@ -24,7 +24,10 @@ def build(files: DataFrame, aliases: DataFrame | None = None) -> Graph:
     js, js_limits = script.extract(files, aliases)
     go, cs = units.go_units(files), units.csharp_units(files)
     pairs = units.partners(files).select("root", "src", "dst", F.lit("imports").alias("relation"), F.lit("csharp_partner").alias("source_tool"), F.lit("heuristic").alias("authority"))
-    edges = py.unionByName(js).unionByName(pairs)
+    # the index is built once: edges and units are far smaller than the texts they come from
+    stored = Stored(files.sparkSession)
+    edges, _ = stored.table(py.unionByName(js).unionByName(pairs))
+    go, cs = (u._replace(unit_files=stored.table(u.unit_files)[0], unit_edges=stored.table(u.unit_edges)[0]) for u in (go, cs))
     limits = py_limits.unionByName(js_limits).unionByName(go.limitations).unionByName(cs.limitations)
     return Graph(files, edges, [go, cs], limits)
 

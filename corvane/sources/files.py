@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,10 @@ def glob(text: Column, pattern: str) -> Column:
     return F.startswith(text, F.lit(head)) & F.endswith(text, F.lit(tail)) & (F.length(text) >= len(head) + len(tail))
 
 
+def matcher(pattern: str):
+    return lambda part: glob(part, pattern)
+
+
 def ignored(path: Column, patterns: Iterable[str]) -> Column:
     """Whether any pattern matches the path or, for directories, one of its ancestors."""
     out = F.lit(False)
@@ -51,7 +56,7 @@ def ignored(path: Column, patterns: Iterable[str]) -> Column:
             bare = pattern.strip("/")
             out = out | F.startswith(path, F.lit(bare + "/")) | F.contains(path, F.lit("/" + bare + "/"))
         elif "/" not in pattern:
-            out = out | F.exists(F.split(path, "/"), lambda part, p=pattern: glob(part, p))
+            out = out | F.exists(F.split(path, "/"), matcher(pattern))
         elif pattern.startswith("/"):
             out = out | glob(path, pattern[1:]) | F.startswith(path, F.lit(pattern[1:] + "/"))
         else:
@@ -59,17 +64,52 @@ def ignored(path: Column, patterns: Iterable[str]) -> Column:
     return out
 
 
+def walk(base: str) -> Iterator[tuple[str, int]]:
+    """(relative path, size) of a local tree in walk order, without entering skipped directories; unreadable ones are left out."""
+    for folder, inside, names in os.walk(base):
+        inside[:] = sorted(d for d in inside if d not in SKIPPED)
+        for name in sorted(names):
+            path = os.path.join(folder, name)
+            try:
+                yield os.path.relpath(path, base).replace(os.sep, "/"), os.stat(path).st_size
+            except OSError:
+                continue
+
+
+def read_bytes(base: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for rel, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    with open(os.path.join(base, rel), "rb") as f:
+                        rows.append((rel, size, f.read()))
+                except OSError:
+                    continue
+            schema = pa.schema([("rel_path", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
 def scan(spark: SparkSession, root: str, patterns: Iterable[str] | None = None) -> DataFrame:
-    """path, root, rel_path, size, language, role, tokens, content of a tree. Unreadable files are left out.
+    """root, path, rel_path, size, language, role, tokens, content, text of a tree. Unreadable files are left out.
 
-    ``binaryFile`` keeps every byte; reading whole texts would drop a final line end and with it shift token counts.
+    A tree on a mounted file system is listed once on the driver, which skips whole directories, and read by the
+    executors: a file source would hide names that begin with a dot or underscore, such as package files. Other stores
+    are read as binary files, with that limitation. Every byte is kept, so token counts are those of the files.
     """
     base = root.rstrip("/")
     patterns = ignore_patterns(base) if patterns is None else list(patterns)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(base)
-    rel = F.substring_index("path", base + "/", -1)
-    kept = raw.withColumn("rel_path", rel).where(not_skipped(F.col("rel_path")) & ~ignored(F.col("rel_path"), patterns))
-    return classify(kept.select(F.lit(base).alias("root"), F.concat(F.lit(base + "/"), F.col("rel_path")).alias("path"), "rel_path", F.col("length").alias("size"), "content"))
+    if "://" in base:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(base)
+        named = raw.select(F.substring_index("path", base + "/", -1).alias("rel_path"), F.col("length").alias("size"), "content").where(not_skipped(F.col("rel_path")))
+    else:
+        listed = spark.createDataFrame(list(walk(base)), "rel_path string, size bigint").where(~ignored(F.col("rel_path"), patterns))
+        named = listed.repartition(spark.sparkContext.defaultParallelism).mapInArrow(read_bytes(base), "rel_path string, size bigint, content binary")
+    kept = named.where(~ignored(F.col("rel_path"), patterns))
+    return classify(kept.select(F.lit(base).alias("root"), F.concat(F.lit(base + "/"), F.col("rel_path")).alias("path"), "rel_path", "size", "content"))
 
 
 def classify(files: DataFrame) -> DataFrame:
