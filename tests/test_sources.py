@@ -60,7 +60,7 @@ def test_tree_scan(spark, tmp_path):
         where.parent.mkdir(exist_ok=True)
         where.write_text(text)
     got = {r["rel_path"]: (r["role"], r["tokens"], r["size"]) for r in files.scan(spark, str(tmp_path)).collect()}
-    assert got == {"a.py": ("source", 1, 6), "docs/z.md": ("docs", 1, 3), ".gitignore": ("config", 3, 12)}
+    assert got == {"a.py": ("source", 1, 6), "docs/z.md": ("docs", 1, 3), ".gitignore": ("config", 2, 11)}
 
 
 def test_git_output(spark):
