@@ -80,18 +80,20 @@ def unrated_tail(calls: DataFrame, key: str | None = None) -> DataFrame:
     rated = F.coalesce(F.col("feedback"), F.lit("")) != ""
     keys = [key] if key else []
     grouped = content.groupBy(*keys).agg(F.coalesce(F.max(F.when(rated, F.col("seq"))), F.lit(-1)).alias("last_rated"))
-    joined = content.join(grouped, key) if key else content.crossJoin(grouped)  # one row
+    if not key:
+        newest = grouped.first()["last_rated"]
+        return content.where(F.col("seq") > newest).agg(F.count("*").alias("unrated"))
+    joined = content.join(grouped, key)
     counted = joined.where("seq > last_rated").groupBy(*keys).agg(F.count("*").alias("unrated"))
-    return grouped.select(*keys).join(counted, key, "left").select(*keys, F.coalesce("unrated", F.lit(0)).alias("unrated")) if key else counted
+    return grouped.select(*keys).join(counted, key, "left").select(*keys, F.coalesce("unrated", F.lit(0)).alias("unrated"))
 
 
 def rate_last(calls: DataFrame, rating: str, at: str) -> DataFrame:
     """The log with the last record rated."""
     if rating not in ("good", "bad"):
         raise ValueError("a rating is good or bad")
-    newest = calls.agg(F.max("seq").alias("newest"))
-    is_last = F.col("seq") == F.col("newest")
-    return calls.crossJoin(F.broadcast(newest)).withColumn("feedback", F.when(is_last, rating).otherwise(F.col("feedback"))).withColumn("feedback_at", F.when(is_last, at).otherwise(F.col("feedback_at"))).drop("newest")
+    is_last = F.col("seq") == F.lit(calls.agg(F.max("seq")).first()[0])
+    return calls.withColumn("feedback", F.when(is_last, rating).otherwise(F.col("feedback"))).withColumn("feedback_at", F.when(is_last, at).otherwise(F.col("feedback_at")))
 
 
 def shown(calls: DataFrame, n: int = 50) -> DataFrame:

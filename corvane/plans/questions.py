@@ -151,8 +151,8 @@ def overview(files: DataFrame, ignore: list[str] | None = None) -> DataFrame:
     areas = files.where("role = 'generated'").groupBy("root", exprs.directory(F.col("rel_path")).alias("value")).agg(F.min(parts).alias("walk"))
     out = out.unionByName(numbered(areas.select("root", "value", F.lit("").alias("notes"), "walk"), "generated_area", F.col("walk")))
     if ignore:
-        rows = files.sparkSession.createDataFrame([(p, k) for k, p in enumerate(ignore[:20])], "value string, k int")
-        out = out.unionByName(files.select("root").distinct().crossJoin(rows).select("root", F.lit("ignored").alias("section"), "value", F.lit("").alias("notes"), F.col("k").alias("ord")))
+        listed = F.posexplode(F.array(*[F.lit(p) for p in ignore[:20]])).alias("ord", "value")
+        out = out.unionByName(files.select("root").distinct().select("root", listed).select("root", F.lit("ignored").alias("section"), "value", F.lit("").alias("notes"), "ord"))
     return out
 
 
@@ -179,8 +179,8 @@ def verify_plan(files: DataFrame, changed: DataFrame) -> DataFrame:
     tests = tree.test_systems(files).select("root", F.lit(True).alias("tested")).distinct()
 
     def rows(system: str, *commands: tuple[str, str, bool, str]) -> DataFrame:
-        plan = files.sparkSession.createDataFrame([(c, k, r, cost, n) for n, (c, k, r, cost) in enumerate(commands)], "command string, kind string, required boolean, cost string, ord int")
-        return found.where(F.col("name") == system).select("root").crossJoin(F.broadcast(plan))  # a fixed table
+        plan = F.array(*[F.struct(F.lit(c).alias("command"), F.lit(k).alias("kind"), F.lit(r).alias("required"), F.lit(cost).alias("cost"), F.lit(n).alias("ord")) for n, (c, k, r, cost) in enumerate(commands)])
+        return found.where(F.col("name") == system).select("root", F.explode(plan).alias("p")).select("root", "p.*")
 
     go = rows("Go Modules", ("go build ./...", "build", True, "low"), ("go vet ./...", "lint", False, "low"))
     go_tests = found.where("name = 'Go Modules'").select("root").join(touched.where("go"), "root").select("root", F.when(F.col("dir") == ".", "go test .").otherwise(F.concat(F.lit("go test ./"), "dir", F.lit("/..."))).alias("command"), F.lit("test").alias("kind"), F.lit(True).alias("required"), F.lit("medium").alias("cost"), F.lit(2).alias("ord"))

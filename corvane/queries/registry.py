@@ -229,11 +229,12 @@ def units_go(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {TREE}, d AS (SELECT root, rel_path, {DIR.format("rel_path")} AS dir, ends_with(rel_path, '_test.go') AS test FROM tree WHERE language = 'Go')
-SELECT a.root, a.rel_path AS src, b.rel_path AS dst, CASE WHEN b.test THEN 'tests' ELSE 'peers' END AS relation FROM d a JOIN d b ON a.root = b.root AND a.dir = b.dir AND a.rel_path <> b.rel_path""")
+SELECT a.root, a.rel_path AS src, b.rel_path AS dst, CASE WHEN b.test THEN 'tests' ELSE 'peers' END AS relation FROM (SELECT root, min(rel_path) AS rel_path, arg_min(dir, rel_path) AS dir FROM d GROUP BY root) a JOIN d b ON a.root = b.root AND a.dir = b.dir AND a.rel_path <> b.rel_path""")
 def peers_and_tests_go(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the first Go file of each tree."""
     files = tree_of(spark, folder)
     group = units.go_units(files)
-    return g.unit_relations(group, files.where("language = 'Go'").select("root", F.col("rel_path").alias("src"))).where("relation IN ('peers', 'tests')").select("root", "src", "dst", "relation")
+    return g.unit_relations(group, files.where("language = 'Go'").groupBy("root").agg(F.min("rel_path").alias("src"))).where("relation IN ('peers', 'tests')").select("root", "src", "dst", "relation")
 
 
 @query()
@@ -315,16 +316,18 @@ def closure_foreign_keys(spark: SparkSession, folder: str) -> DataFrame:
     return g.closure(back, spark.createDataFrame([("tpch", "r0")], "root string, src string")).select("node", "steps")
 
 
-@query("""WITH s AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey <= 50) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b USING (l_orderkey) WHERE a.l_partkey <> b.l_partkey),
-c AS (SELECT src, dst, 1 AS p FROM s UNION ALL SELECT a.p_partkey, b.p_partkey, 2 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey WHERE a.p_partkey <= 50)
-SELECT src, dst, min(p) AS priority FROM c GROUP BY ALL""")
-def priority_match_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """For each requested part (the first fifty are the request) the parts sold with it, else those of its brand and type."""
-    lines, part = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey").distinct(), table(spark, folder, "part")
-    seeds = lines.where("l_partkey <= 50").withColumnRenamed("l_partkey", "src")
-    sold = seeds.join(lines.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("src <> dst").select("src", "dst", F.lit(1).alias("p"))
-    like = part.where("p_partkey <= 50").select(F.col("p_partkey").alias("src"), "p_brand", "p_type").join(part.select(F.col("p_partkey").alias("dst"), "p_brand", "p_type"), ["p_brand", "p_type"]).where("src <> dst").select("src", "dst", F.lit(2).alias("p"))
-    return sold.unionByName(like).groupBy("src", "dst").agg(F.min("p").alias("priority"))
+@query("""SELECT o_custkey, l_suppkey, min(CASE WHEN s_nationkey = c_nationkey THEN 1 WHEN a.n_regionkey = b.n_regionkey THEN 2 ELSE 3 END) AS priority, count(*) AS lines
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey GROUP BY ALL""")
+def priority_match_suppliers(spark: SparkSession, folder: str) -> DataFrame:
+    """Tagging by the first match that holds: a customer's suppliers are of its nation, else of its region, else others."""
+    t = lambda n: table(spark, folder, n)
+    customers = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", F.col("n_regionkey").alias("c_region"))
+    suppliers = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", F.col("n_regionkey").alias("s_region"))
+    lines = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = lines.groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("lines"))
+    tagged = pairs.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    priority = F.when(F.col("s_nationkey") == F.col("c_nationkey"), 1).when(F.col("s_region") == F.col("c_region"), 2).otherwise(3)
+    return tagged.select("o_custkey", "l_suppkey", priority.alias("priority"), "lines")
 
 
 # --- failures ----------------------------------------------------------------------------------------------------------
