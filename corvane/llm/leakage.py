@@ -5,6 +5,8 @@
 2. Rarity: document frequency of every vocabulary term, over all documents (one map-side combined count).
 3. Lookup: of every window of ``least`` item words, its rarest positions are looked up; all but the allowed edits of
    them survive in a leaked passage. Their posting lists are joined by term and intersected after subtracting the offset in the item.
+   A passage of twice ``least`` words or more can be halved, and one half has no more edits for its length than the whole.
+   So some passage is shorter, and its windows have at most ``most_edits`` edits: 4 for 24 words and one in ten.
 4. Match: around each agreeing offset the item and the document's positions are aligned; a pair is reported if at least
    ``least`` consecutive item words are there with at most one in ``one_in`` changed, added or dropped.
 
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 from corvane.session import Stored
 
 LEAST, ONE_IN = 24, 10
-SEEDS_PER_WINDOW = 8
+SEEDS_PER_WINDOW = 10
 STOCK_ITEMS = 3
-WIDTH = 8  # of a cell of offsets; inside one window the allowed edits move an offset by less than half of it
+WIDTH = 8  # of a cell of offsets; inside one passage the allowed edits move an offset by no more than half of it
 MOST_ITEM_BYTES = 256 << 20  # the held-out set is gathered on the driver; larger ones are to be given in parts
 
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.DOTALL)
@@ -48,6 +50,11 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+")
 WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 
 
+def most_edits(least: int = LEAST, one_in: int = ONE_IN) -> int:
+    """The most edits of a passage that cannot be halved."""
+    return (2 * least - 1) // one_in
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text as they count for a match."""
     if not text:
@@ -92,15 +99,17 @@ def index(documents: DataFrame, vocabulary: dict[str, int], doc_id: str = "doc_i
     return documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, terms array<int>, positions array<int>")
 
 
-def lookup_rows(own: dict[int, list[int]], frequency: dict[int, int], least: int) -> list[tuple[int, int, int]]:
-    """(term, item, offset) to look up: the rarest positions of every window."""
+def lookup_rows(own: dict[int, list[int]], frequency: dict[int, int], least: int, one_in: int = ONE_IN) -> list[tuple[int, int, int]]:
+    """(term, item, offset) to look up: the rarest positions of every window; words of stock instructions count as edits."""
     rows = set()
+    most = most_edits(least, one_in)
     for item, terms in own.items():
         for start in range(len(terms) - least + 1):
             window = terms[start : start + least]
-            if min(window) < 0:
+            there = [k for k in range(least) if window[k] >= 0]
+            if len(there) < least - most:
                 continue
-            rare = sorted(range(least), key=lambda k: (frequency.get(window[k], 0), window[k], k))[:SEEDS_PER_WINDOW]
+            rare = sorted(there, key=lambda k: (frequency.get(window[k], 0), window[k], k))[:SEEDS_PER_WINDOW]
             rows.update((window[k], item, start + k) for k in rare)
     return sorted(rows)
 
@@ -172,11 +181,14 @@ def found(documents: DataFrame, items: DataFrame, least: int = LEAST, one_in: in
     own = {i: [vocabulary[w] if w else -1 for w in ws] for i, ws in own_words.items()}
     if not any(len(t) >= least for t in own.values()):
         return none
+    most = most_edits(least, one_in)
+    if most > WIDTH // 2 or SEEDS_PER_WINDOW <= most:
+        raise ValueError(f"{most} edits in a passage are more than cells of {WIDTH} offsets and {SEEDS_PER_WINDOW} lookups a window allow")
     stored = Stored(spark)
     postings, _ = stored.table(index(documents.where("text is not null and doc_id is not null"), vocabulary))
     counted = postings.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
     frequency = dict(counted.collect())  # at most a row per vocabulary term
-    lookups = spark.createDataFrame(lookup_rows(own, frequency, least), "term int, item_id bigint, offset int")
+    lookups = spark.createDataFrame(lookup_rows(own, frequency, least, one_in), "term int, item_id bigint, offset int")
     # only postings of looked-up terms leave the index; hot terms are not among the rarest
     listed = postings.select("doc_id", F.explode(F.arrays_zip("terms", "positions")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.positions").alias("position"))
     shifted = listed.join(lookups, "term").select("doc_id", "item_id", "offset", (F.col("position") - F.col("offset")).alias("diagonal"))
@@ -184,7 +196,7 @@ def found(documents: DataFrame, items: DataFrame, least: int = LEAST, one_in: in
     cells = shifted.select("doc_id", "item_id", "offset", F.explode(F.array(F.floor(F.col("diagonal") / WIDTH) * 2, F.floor((F.col("diagonal") + WIDTH // 2) / WIDTH) * 2 + 1)).alias("cell"))
     # offsets of one window differ by less than 64, so a bit each counts them
     bits = F.bit_count(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(offset, 64) AS INT))")))
-    agreeing = cells.groupBy("doc_id", "item_id", "cell").agg(bits.alias("agree")).where(F.col("agree") >= SEEDS_PER_WINDOW - least // one_in)
+    agreeing = cells.groupBy("doc_id", "item_id", "cell").agg(bits.alias("agree")).where(F.col("agree") >= SEEDS_PER_WINDOW - most)
     candidates = agreeing.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "cell")).alias("cells"))
     return candidates.join(postings, "doc_id").mapInArrow(verifier(own, least, one_in), "doc_id bigint, item_id bigint")
 
@@ -220,7 +232,7 @@ def promising(item: np.ndarray, terms: np.ndarray, positions: np.ndarray, start:
     diagonal = positions[a:b][None, :] - np.arange(len(item))[:, None]
     there = ((terms[a:b][None, :] == item[:, None]) & (diagonal >= start - 4) & (diagonal < start + WIDTH + 4)).any(axis=1)
     sums = np.concatenate([[0], np.cumsum(there)])
-    return bool((sums[least:] - sums[:-least]).max(initial=0) >= least - least // one_in)
+    return bool((sums[least:] - sums[:-least]).max(initial=0) >= least - most_edits(least, one_in))
 
 
 def regions(ranges: list[tuple[int, int]], terms: np.ndarray, positions: np.ndarray) -> Iterator[np.ndarray]:

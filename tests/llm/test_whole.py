@@ -2,6 +2,7 @@
 
 import pytest
 
+from corvane.llm import leakage
 from corvane.llm.parsing import examine
 
 
@@ -11,3 +12,16 @@ def test_classic_for_loops(language):
         assert examine(text, language) is None, text
     for text in ("for (let i = 0; i < ; i++) {}", "for (let = 0; i < n; i++) {}", "for (let i = 0; i < n; i++; j) {}", "for (i; let j = 0; k) {}", "f(let i = 0; i < n; i++)"):
         assert examine(text, language).kind == "grammar", text
+
+
+def test_leaked_passages_with_edits_in_the_middle(spark):
+    base = [f"word{k}" for k in range(80)]
+    items = spark.createDataFrame([(1, "s", " ".join(base))], "item_id bigint, suite string, text string")
+
+    def edited(words, places, drop=False):
+        return " ".join(w if k not in places else "" if drop else "changed" for k, w in enumerate(words))
+
+    thirty, forty = base[20:50], base[20:60]
+    docs = [edited(thirty, {10, 14, 18}), edited(thirty, {10, 14, 18}, drop=True), edited(forty, {16, 18, 20, 22}), edited(thirty, {10, 12, 14, 16}), edited(base[20:49], {10, 14, 18}), edited(base[:32], {12, 15, 19})]
+    documents = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in leakage.found(documents, items).collect()} == {0, 1, 2, 5}
