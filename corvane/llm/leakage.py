@@ -115,60 +115,32 @@ def lookup_rows(own: dict[int, list[int]], frequency: dict[int, int], least: int
 
 
 def passage(item: np.ndarray, doc: np.ndarray, least: int = LEAST, one_in: int = ONE_IN) -> bool:
-    """Whether ``least`` or more consecutive item words stand in doc with at most one in ``one_in`` edited. Ids < 0 match nothing."""
+    """Whether ``least`` or more consecutive item words stand in doc with at most one in ``one_in`` edited. Ids < 0 match nothing.
+
+    Exact: row by row and for each number of edits up to ``most_edits``, the most item words of an alignment that ends here.
+    """
     n, m = len(item), len(doc)
-    if n < least or m < least - least // one_in:
+    most = most_edits(least, one_in)
+    need = np.maximum(least, one_in * np.arange(most + 1))
+    if n < least or m < least - most:
         return False
-    steps = np.arange(m + 1)
-    table = np.zeros((n + 1, m + 1), dtype=np.int32)
-    for i in range(1, n + 1):
-        same = (doc == item[i - 1]) if item[i - 1] >= 0 else np.zeros(m, dtype=bool)
-        row = np.empty(m + 1, dtype=np.int64)
-        row[0] = 0
-        row[1:] = np.maximum(table[i - 1, :-1] + np.where(same, 1, -1), table[i - 1, 1:] - 1)
-        np.maximum(row, 0, out=row)
-        table[i] = np.maximum.accumulate(row + steps) - steps
-    tried = 0
-    scores = table.max(axis=1)
-    need = least - 3 * (least // one_in)
-    used = np.zeros(n + 1, dtype=bool)
-    for end in np.argsort(-scores, kind="stable"):
-        if scores[end] < need or tried >= 12:
-            return False
-        if used[end]:
-            continue
-        tried += 1
-        columns, i, j = [], int(end), int(table[end].argmax())
-        while i and j and table[i, j] > 0:
-            match = item[i - 1] >= 0 and item[i - 1] == doc[j - 1]
-            if table[i, j] == table[i - 1, j - 1] + (1 if match else -1):
-                columns.append((1, 0 if match else 1))
-                used[i] = True
-                i, j = i - 1, j - 1
-            elif table[i, j] == table[i - 1, j] - 1:
-                columns.append((1, 1))
-                used[i] = True
-                i -= 1
-            else:
-                columns.append((0, 1))
-                j -= 1
-        if window_fits(columns[::-1], least, one_in):
+    longest = np.zeros((most + 1, m + 1), dtype=np.int32)
+    for word in item:
+        same = doc == word if word >= 0 else np.zeros(m, dtype=bool)
+        row = np.zeros_like(longest)
+        row[:, 1:] = np.where(same, longest[:, :-1] + 1, 0)
+        # an item word changed or dropped
+        np.maximum(row[1:, 1:], longest[:-1, :-1] + 1, out=row[1:, 1:])
+        np.maximum(row[1:], longest[:-1] + 1, out=row[1:])
+        # a word added: one edit fewer before it, in the same row
+        for edits in range(1, most + 1):
+            np.maximum(row[edits, 1:], row[edits - 1, :-1], out=row[edits, 1:])
+        if (row.max(axis=1) >= need).any():
             return True
+        longest = row
     return False
 
 
-def window_fits(columns: list[tuple[int, int]], least: int, one_in: int) -> bool:
-    """Whether some run of alignment columns has at least ``least`` item words and no more than a tenth as many edits."""
-    length = np.concatenate([[0], np.cumsum([c[0] for c in columns])])
-    edits = np.concatenate([[0], np.cumsum([c[1] for c in columns])])
-    # for every end: is there a start with length >= least and length - one_in * edits >= 0
-    value = length - one_in * edits
-    best = np.minimum.accumulate(value)
-    starts = np.searchsorted(length, length - least, side="right") - 1
-    ok = (length >= least) & (value - best[np.maximum(starts, 0)] >= 0)
-    return bool(ok.any())
-
-
 def found(documents: DataFrame, items: DataFrame, least: int = LEAST, one_in: int = ONE_IN) -> DataFrame:
     """(doc_id, item_id): the document holds a passage of the item."""
     spark = documents.sparkSession

@@ -1,5 +1,6 @@
 """Cases at the edges of what the training-data operators must find."""
 
+import numpy as np
 import pytest
 
 from corvane.llm import leakage
@@ -25,3 +26,36 @@ def test_leaked_passages_with_edits_in_the_middle(spark):
     docs = [edited(thirty, {10, 14, 18}), edited(thirty, {10, 14, 18}, drop=True), edited(forty, {16, 18, 20, 22}), edited(thirty, {10, 12, 14, 16}), edited(base[20:49], {10, 14, 18}), edited(base[:32], {12, 15, 19})]
     documents = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
     assert {r["doc_id"] for r in leakage.found(documents, items).collect()} == {0, 1, 2, 5}
+
+
+def test_passage_behind_a_heavily_edited_one():
+    item = np.arange(150)
+    retold = [k if k % 7 else -1 for k in range(50, 130)]
+    doc = np.array([*range(24), *[-1] * 35, *retold])
+    assert leakage.passage(item, doc)
+    assert not leakage.passage(item, doc[24:])
+
+
+def edits_of(item, doc):
+    """Edit distance of all of item to the nearest stretch of doc."""
+    row = [0] * (len(doc) + 1)
+    for k, a in enumerate(item):
+        last, row = row, [k + 1]
+        for j, b in enumerate(doc):
+            row.append(min(last[j] + (a != b or a < 0), last[j + 1] + 1, row[j] + 1))
+    return min(row)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_passage_is_the_definition(seed):
+    random = np.random.default_rng(seed)
+    item = random.integers(0, 30, 70)
+    doc = []
+    for word in item:
+        if (chance := random.random()) < 0.11:
+            doc += [] if chance < 0.04 else [99] if chance < 0.08 else [word, 99]
+        else:
+            doc.append(word)
+    doc = np.array(doc)
+    wanted = any(10 * edits_of(item[a:b], doc) <= b - a for a in range(len(item)) for b in range(a + 24, len(item) + 1))
+    assert leakage.passage(item, doc) == wanted
