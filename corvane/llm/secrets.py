@@ -210,6 +210,7 @@ def inner(text: str, at: int, findings: list[Finding], depth: int = 0) -> None:
                 hidden: list[Finding] = []
                 inner(plain, 0, hidden, 1)
                 named(plain, 0, hidden)
+                unnamed(plain, 0, hidden)
                 if hidden:
                     findings.append(Finding(at + m.start(), at + m.end(), "encoded"))
 
@@ -275,6 +276,62 @@ def opening(value: str) -> bool:
     return not HEX.match(value) and (not value.isalnum() or not 15 <= len(value) <= 23 or bool(re.fullmatch(r"(?:[A-Z]?[a-z]{3,})+\d{1,4}", value)))
 
 
+# Fixed words: values of these names are random and open to all.
+OPEN_WORDS = ABOUT_WORDS | frozenset("commit revision rev cert certificate md uuid guid signature sig etag nonce trace span request correlation cursor chunk blob data image icon font sourcemap wasm buffer seed salt oid thumbprint tag snapshot".split())
+ARMOUR = re.compile(r"-----BEGIN (?:(?!PRIVATE)[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE|CERTIFICATE REQUEST|MESSAGE|SIGNATURE)-----.*?(?:-----END|\Z)", re.DOTALL)
+WRAPPED_FROM = 64  # characters of a literal that has its line for itself: from here on it is data stored as code
+RUN = re.compile(r"""(["'])(?:(?!\1)[^\\\n])*\1(?:\s*\+\s*(["'])(?:(?!\2)[^\\\n])*\2)+""")
+ENTRY = re.compile(r"""[ \t]*[+(\[]?[ \t]*[rbufRBUF@$]{0,2}(?:(?P<q>["'`])(?:(?!(?P=q)).)*(?P=q)[ \t]*[,+.;)\]\\]*[ \t]*|[A-Za-z0-9+/=_\-]{20,}\\?)\r?""")
+
+
+def scattered(value: str) -> bool:
+    """Whether letters and digits change as often as by chance; a capital that begins a word is no change."""
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in value if c.isalnum()]
+    changes = sum(a != b and (a, b) != ("u", "l") for a, b in zip(kinds, kinds[1:]))
+    return "d" in kinds and len(set(kinds)) > 1 and changes >= 0.22 * len(kinds)
+
+
+def unnamed(text: str, at: int, findings: list[Finding]) -> None:
+    """Quoted strings and long tokens that are random by their entropy alone, whatever their name, unless it says they are open."""
+    for m in RUN.finditer(text) if re.search(r"""["']\s*\+\s*["']""", text) else ():
+        spans = [q.span(2) for q in QUOTES.finditer(text, m.start(), m.end())]
+        value = "".join(text[a:b] for a, b in spans)
+        hits: list[Finding] = []
+        inner(value, 0, hits, 1)
+        if hits:
+            findings += [Finding(at + a, at + b, "joined") for a, b in spans if b > a]
+    armour: list[tuple[int, int]] | None = None
+    for m in LONG.finditer(text):
+        value = m[0]
+        if HEX.match(value) or value.isalnum() and len(value) <= 23 or not scattered(value) or not random_looking(value) or not secret_value(value):
+            continue
+        start = text.rfind("\n", 0, m.start()) + 1
+        end = text.find("\n", m.end())
+        end = len(text) if end < 0 else end
+        if ENTRY.fullmatch(text, start, end):  # a line of a table of literals or of wrapped data, beside another one or as long as those are
+            if len(value) >= WRAPPED_FROM:
+                continue
+            above = text.rfind("\n", 0, max(0, start - 1)) + 1
+            below = text.find("\n", end + 1)
+            if start and ENTRY.fullmatch(text, above, start - 1) or end < len(text) and ENTRY.fullmatch(text, end + 1, len(text) if below < 0 else below):
+                continue
+        lead = text[max(start, m.start() - 400) : m.start()]
+        quoted = re.search(r"""["'`]$""", lead) is not None
+        if not quoted and not re.search(r"(?:^|[=:,>(|][ \t]*|[ \t])$", lead) or not quoted and not re.match(r"""[\s;,)<|"'`]|$""", text[m.end() : m.end() + 1]):
+            continue
+        if quoted and text[m.end() : m.end() + 1] != lead[-1]:
+            continue
+        if re.search(r"(?:ssh-\w+|ecdsa-[\w\-]+|base64,|sha\d{1,3}[-:=]|://\S*)[ \t]*$", lead, re.IGNORECASE):
+            continue
+        name = before(lead[:-1] if quoted else lead)
+        if any(p in OPEN_WORDS for p in name_parts(name)):
+            continue
+        if armour is None:
+            armour = [a.span() for a in ARMOUR.finditer(text)] if "-----BEGIN" in text else []
+        if not any(a <= m.start() < b for a, b in armour):
+            findings.append(Finding(at + m.start(), at + m.end(), "random"))
+
+
 def named(text: str, at: int, findings: list[Finding]) -> None:
     """Values under a secret's name, in the lines that have a word of the kind (and the line after a name of its own)."""
     low = text.lower()
@@ -310,6 +367,7 @@ def find(text: str) -> list[Finding]:
     if text:
         inner(text, 0, findings)
         named(text, 0, findings)
+        unnamed(text, 0, findings)
     findings.sort(key=lambda f: (f.start, -f.end))
     kept: list[Finding] = []
     for f in findings:

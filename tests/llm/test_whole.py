@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from corvane.llm import leakage
+from corvane.llm import leakage, secrets
 from corvane.llm.parsing import examine
 
 
@@ -59,3 +59,19 @@ def test_passage_is_the_definition(seed):
     doc = np.array(doc)
     wanted = any(10 * edits_of(item[a:b], doc) <= b - a for a in range(len(item)) for b in range(a + 24, len(item) + 1))
     assert leakage.passage(item, doc) == wanted
+
+
+KEY = "q7Rz2VbN8xTk4WmJ9cLs3HdY6pFg1Qa5"
+
+
+def test_random_values_without_a_secret_name():
+    for text in (f'client = Client("{KEY}")', f"endpoint:\n  value: {KEY}\n", f'x = ["a",\n  "{KEY}",\n]', f"curl -H 'X-Custom: {KEY}'"):
+        assert KEY in [text[f.start : f.end] for f in secrets.find(text)], text
+    text = 'extra = "sk_liv" +\n  "e_yg0blfR15eypFOmLAyUNJYUR"'
+    assert len(secrets.find(text)) == 2 and "yg0b" not in secrets.mask(text)
+
+
+def test_random_values_that_are_open():
+    table = "\n".join(f'  "{KEY[k:] + KEY[:k]}",' for k in range(4))
+    for text in (f'etag = "{KEY}"', f'commit_id: {KEY}', f"data = [\n{table}\n]", f'x = "sha512-{KEY}{KEY}=="', "ssh-rsa " + KEY * 3, f"-----BEGIN CERTIFICATE-----\n{KEY}\n-----END CERTIFICATE-----", 'f("AcquireCachedTokenStream84", "token_stream/previous/726")', f'x("{"4198ef512a2f4b6c290f1ab004230fd4" * 2}")', 'open("h", "b42c7d9e-11aa-4c6f-8d20-93f1e07c5a64")'):
+        assert secrets.find(text) == [], text
