@@ -143,38 +143,45 @@ PROVIDER = re.compile(
 )
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PRIVATE_END = re.compile(r"-----END [A-Z0-9 ]+-----")
-ADDRESS = re.compile(r"\b[a-z][a-z0-9+.\-]{1,20}://([^\s:/@'\"<>`]{0,64}):([^\s/'\"`]{1,128}?)@(?=[\w\[$%{<])", re.IGNORECASE)
-CONNECTION = re.compile(r"(?<![\w\-])(?:password|pwd|passwd|accountkey|sharedaccesskey|access_token|api_key|apikey|token|secret)\s{0,2}=\s{0,2}([^;\s'\"`&,]{4,200})", re.IGNORECASE | re.MULTILINE)
-SCHEME = re.compile(r"\b(Basic|Bearer|Token)\s+([A-Za-z0-9+/=_\-.~]{8,400})")
+ADDRESS = re.compile(r"\b[a-z][a-z0-9+.\-]{1,20}://([^\s:/@'\"<>`]*):([^\s/'\"`]+?)@(?=[\w\[$%{<])", re.IGNORECASE)
+CONNECTION = re.compile(r"(?<![\w\-])(?:password|pwd|passwd|accountkey|sharedaccesskey|access_token|api_key|apikey|token|secret)\s{0,2}=\s{0,2}([^;\s'\"`&,]{4,})", re.IGNORECASE | re.MULTILINE)
+SCHEME = re.compile(r"\b(Basic|Bearer|Token)\s+([A-Za-z0-9+/=_\-.~]{8,})")
 QUOTES = re.compile(r"""(\"\"\"|'''|["'`])((?:\\.|(?!\1)[^\\])*?)\1""")
 JOINED = re.compile(r"[ \t]*\+[ \t]*")
 # the name before a value, read at the end of what precedes it
 BEFORE = re.compile(r"""(?P<name>[A-Za-z_ñÑ$@\-][\w\-.ñÑ$]*(?:[ ][A-Za-z_][\w\-]*){0,8})["'`\])}*]{0,4}[ \t]*(?:=>|:=|\?\?=|=|:|,|\||>|\(|[ \t])[ \t]*(?:[A-Za-z_.<>]{0,30}[(\[{][ \t]*)?[rbufRBUF@$]{0,2}$""")
 TYPED = re.compile(r"[ \t]*:[ \t]*[\w<>\[\]|.? ]{1,40}(?==[ \t]*[rbufRBUF@$]{0,2}$)|[ \t]*\{[ \t]*get;[^}]*\}")
 OPENS = re.compile(r"\b(?:open|connect|login|dial|authenticate|signin)\w{0,12}\([^()]*,[ \t]*[rbufRBUF@$]{0,2}$", re.IGNORECASE)
-BARE = re.compile(r"""^[ \t]*(?:[#/*;+>|\-]{1,3}[ \t]*)?(?:export[ \t]+|set[ \t]+|-e[ \t]+|old[ \t]+)?["'`]?(?P<name>[A-Za-z_][\w\-. ]{1,60}?)["'`]?[ \t]*(?:=|:)[ \t]*(?P<value>[^\s"'`]{6,400}?)[;,]?(?:[ \t]+[(#/].*)?\r?$""")
-ATTRIBUTE = re.compile(r"""\b(?:key|name)="(?P<name>[\w\-.]+)"[ \t]+value="(?P<value>[^"]{4,400})\"""")
-ELEMENT = re.compile(r"<(?P<name>[A-Za-z][\w\-.]{1,60})>(?P<value>[^<>\s][^<>\n]{3,400})</")
-HEADER = re.compile(r"^(?P<name>[A-Za-z][\w\-]{1,40}):[ \t]*(?P<value>\S{4,400})$")
+BARE = re.compile(r"""^[ \t]*(?:[#/*;+>|\-]{1,3}[ \t]*)?(?:export[ \t]+|set[ \t]+|-e[ \t]+|old[ \t]+)?["'`]?(?P<name>[A-Za-z_][\w\-. ]{1,60}?)["'`]?[ \t]*(?:=|:)[ \t]*(?P<value>[^\s"'`]{6,}?)[;,]?(?:[ \t]+[(#/].*)?\r?$""")
+ATTRIBUTE = re.compile(r"""\b(?:key|name)="(?P<name>[\w\-.]+)"[ \t]+value="(?P<value>[^"]{4,})\"""")
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z][\w\-.]{1,60})>(?P<value>[^<>\s][^<>\n]{3,})</")
+HEADER = re.compile(r"^(?P<name>[A-Za-z][\w\-]{1,40}):[ \t]*(?P<value>\S{4,})$")
 PAIR_NAME = re.compile(r"^[ \t-]*[\"']?(?:name|key)[\"']?[ \t]*:[ \t]*[\"']?(?P<name>[\w\-.]+)[\"']?,?[ \t]*\r?$")
-PAIR_VALUE = re.compile(r"^[ \t]*[\"']?(?:value|val)[\"']?[ \t]*:[ \t]*[\"']?(?P<value>[^\s\"']{4,400})[\"']?,?[ \t]*\r?$")
+PAIR_VALUE = re.compile(r"^[ \t]*[\"']?(?:value|val)[\"']?[ \t]*:[ \t]*[\"']?(?P<value>[^\s\"']{4,})[\"']?,?[ \t]*\r?$")
 LONG = re.compile(r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/_\-]{20,}={0,2}(?![A-Za-z0-9+/=_\-])")
 # parts of every secret's name: only lines with one of them are looked at by name
 HINTS = ("pass", "pwd", "pw", "secret", "token", "key", "cred", "auth", "kennwort", "contrase", "mot_de", "motde", "mot-de", "mot de", "senha", "dsn", "bearer", "jwt", "connectionstring")
 LOGIN = ("open(", "connect(", "login(", "dial(", "authenticate(")
 
 
+UNPRINTABLE = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+
+
 def decoded(value: str) -> str | None:
     """Printable text behind base64, if that is what it is."""
-    if len(value) < 8 or len(value) > 4000 or not BASE64.match(value):
+    if len(value) < 8 or not BASE64.match(value):
         return None
     try:
         raw = base64.b64decode(value.replace("-", "+").replace("_", "/") + "=" * (-len(value) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    if len(raw) < 6 or any(b < 32 and b not in (9, 10, 13) or b > 126 for b in raw):
+    if len(raw) < 6 or UNPRINTABLE.search(raw):
+        return None
+    try:
+        plain = raw.decode("utf-8")
+    except UnicodeDecodeError:
         return None
-    return raw.decode("ascii")
+    return plain if plain.isascii() or all(c.isprintable() or c in "\t\n\r\ufeff" for c in plain) else None
 
 
 def inner(text: str, at: int, findings: list[Finding], depth: int = 0) -> None:
@@ -357,7 +364,9 @@ def literal(value: str) -> bool:
     """A secret, plain or as the base64 of one; the base64 of a placeholder is none."""
     plain = decoded(value) if len(value) >= 8 and not HEX.match(value) else None
     if plain is not None and plain.strip():
-        return secret_value(plain.strip()) or bool(PROVIDER.search(plain)) and not PLACEHOLDER.search(plain) or any(address_password(m[2]) for m in ADDRESS.finditer(plain))
+        opened = secret_value(plain.strip()) or bool(PROVIDER.search(plain)) and not PLACEHOLDER.search(plain) or any(address_password(m[2]) for m in ADDRESS.finditer(plain))
+        if opened or plain.isascii():  # beyond ASCII, random bytes may be text by chance
+            return opened
     return secret_value(value)
 
 

@@ -1,5 +1,9 @@
 """Cases at the edges of what the training-data operators must find."""
 
+import base64
+import random
+import string
+
 import numpy as np
 import pytest
 
@@ -48,11 +52,11 @@ def edits_of(item, doc):
 
 @pytest.mark.parametrize("seed", range(30))
 def test_passage_is_the_definition(seed):
-    random = np.random.default_rng(seed)
-    item = random.integers(0, 30, 70)
+    chances = np.random.default_rng(seed)
+    item = chances.integers(0, 30, 70)
     doc = []
     for word in item:
-        if (chance := random.random()) < 0.11:
+        if (chance := chances.random()) < 0.11:
             doc += [] if chance < 0.04 else [99] if chance < 0.08 else [word, 99]
         else:
             doc.append(word)
@@ -75,3 +79,21 @@ def test_random_values_that_are_open():
     table = "\n".join(f'  "{KEY[k:] + KEY[:k]}",' for k in range(4))
     for text in (f'etag = "{KEY}"', f'commit_id: {KEY}', f"data = [\n{table}\n]", f'x = "sha512-{KEY}{KEY}=="', "ssh-rsa " + KEY * 3, f"-----BEGIN CERTIFICATE-----\n{KEY}\n-----END CERTIFICATE-----", 'f("AcquireCachedTokenStream84", "token_stream/previous/726")', f'x("{"4198ef512a2f4b6c290f1ab004230fd4" * 2}")', 'open("h", "b42c7d9e-11aa-4c6f-8d20-93f1e07c5a64")'):
         assert secrets.find(text) == [], text
+
+
+def test_credentials_of_any_length():
+    pick = random.Random(3)
+    token = "".join(pick.choice(string.ascii_letters + string.digits) for _ in range(600))
+    for text in (f"API_TOKEN={token}", f'<add key="apiToken" value="{token}" />', f"<apiToken>{token}</apiToken>", f'h = "Authorization: {token}"', f"- name: API_TOKEN\n  value: {token}", f"url: https://bot:{token[:200]}@host.example/x", f"c: Server=a;Password={token};X=1", f"Bearer {token}"):
+        masked = secrets.mask(text)
+        assert token[:100] not in masked and token[150:200] not in masked and ("@host" in text or token[500:] not in masked), text[:40]
+
+
+def test_encoded_credentials_of_any_length_and_script():
+    pick = random.Random(4)
+    body = "\n".join("".join(pick.choice(string.ascii_letters + string.digits) for _ in range(64)) for _ in range(50))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\n"
+    env = "# für die Prüfung\nDB_PASSWORD=Copper-Orchard!4171\n"
+    for plain in (key, env, "x = 1\n" * 1000 + env):
+        value = base64.b64encode(plain.encode()).decode()
+        assert [(f.start, f.end) for f in secrets.find(f"data: {value}\n")] == [(6, 6 + len(value))]
