@@ -1,7 +1,8 @@
 """Source files nobody of the project wrote by hand: generated, minified, third-party, or data saved as code.
 
-Header notices (the leading comment block) and a file's closing map reference say what some files are; they label a
-bounded sample and are cut off before features are taken. A random forest on compression ratio, token entropy, identifier
+Minifiers' banners, map references and tables of literals label a bounded sample as machine-shaped; authors' notices, or
+short lines without a notice, label it as hand-written. Files with a generator's notice have no label: most look like any
+other code. Notices are cut off before features are taken. A random forest on compression ratio, token entropy, identifier
 lengths, comment density and line shape then scores every file. A file is reported if the forest finds it machine-shaped,
 or if its notice or the naming convention of a tool or of a vendored tree says so; a notice or tree that names one of the
 repositories of the table is first-party and no case.
