@@ -237,6 +237,33 @@ def peers_and_tests_go(spark: SparkSession, folder: str) -> DataFrame:
     return g.unit_relations(group, files.where("language = 'Go'").groupBy("root").agg(F.min("rel_path").alias("src"))).where("relation IN ('peers', 'tests')").select("root", "src", "dst", "relation")
 
 
+@query(f"""WITH {TREE} SELECT t.root, regexp_extract(t.root, '^([^@]*)', 1) || CASE WHEN d = '.' THEN '' ELSE '/' || d END AS unit_id, rel_path AS path, ends_with(rel_path, '_test.go') AS test
+FROM (SELECT *, {DIR.format("rel_path")} AS d FROM tree WHERE language = 'Go') t""")
+def members_go(spark: SparkSession, folder: str) -> DataFrame:
+    """Every Go file with its package: all peers and tests, without a row per pair."""
+    return units.go_units(tree_of(spark, folder)).unit_files.select("root", "unit_id", "path", "test")
+
+
+@query()
+def members_csharp(spark: SparkSession, folder: str) -> DataFrame:
+    return units.csharp_units(tree_of(spark, folder)).unit_files.select("root", "unit_id", "path", "test")
+
+
+@query()
+def unit_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Imports between all packages and projects; importers are the same rows read backwards."""
+    files = tree_of(spark, folder)
+    groups = (("go", units.go_units(files)), ("csproj", units.csharp_units(files)))
+    parts = [group.unit_edges.select("root", "src_unit", "dst_unit", F.lit(kind).alias("kind")) for kind, group in groups]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def file_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Imports between all files of languages whose edges are files'."""
+    return graph_of(spark, folder).edges
+
+
 @query()
 def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
     graph = graph_of(spark, folder)
