@@ -97,3 +97,12 @@ def test_encoded_credentials_of_any_length_and_script():
     for plain in (key, env, "x = 1\n" * 1000 + env):
         value = base64.b64encode(plain.encode()).decode()
         assert [(f.start, f.end) for f in secrets.find(f"data: {value}\n")] == [(6, 6 + len(value))]
+
+
+@pytest.mark.parametrize("language", ["JavaScript", "TypeScript"])
+def test_holes_of_templates(language):
+    for text in ("x = `a ${b + 1} c ${f({d: 1})} ${`in ${e}`}`;", "x = `${f('}')} \\${a +} $ {`;", "x = `${a, b}${xs.map((y) => y.z)}`;"):
+        assert examine(text, language) is None, text
+    for text in ("x = `${a +}`;", "x = `ok ${b} ${}`;", "x = `${a b}`;", "x = `${f(1,, 2)}`;", "x = `${`in ${c *}`}`;", "x = `${return a}`;"):
+        why = examine(text, language)
+        assert why is not None and why.cost >= 1 and why.at >= text.index("${"), text
