@@ -147,26 +147,53 @@ def test_mixing_tables(spark):
     assert mixing.Mix(documents, targets.where("false")).selection().count() == 0
 
 
+CALM = ("Please rotate the cache before the release.", "Kill the child process and abort the worker.", "The women page of the locale pack is cached.", "We moved the migrants sample into the archive.", "The index knows four files and no decoder.", "My guess is that the worker holds a stale copy.")
+HARSH = ("You are a worthless moron, {}.", "Shut up, you stupid bastard {}.", "The {} are vermin and should be driven out.", "{} gave me a blowjob.")
+
+
+def abuse_corpus():
+    """Documents 100 and up, with two raters each; a rater errs once."""
+    names = ("ebbe", "tolva", "women", "migrants", "refugees", "foreigners")
+    docs, votes = [], []
+    for k in range(120):
+        parts = [CALM[(k + j) % len(CALM)] for j in range(3)]
+        if bad := k % 4 == 0:
+            parts[k // 4 % 3] = HARSH[k // 4 % len(HARSH)].format(names[k // 4 % len(names)])
+        docs.append((100 + k, " ".join(parts), "c", 1, 1))
+        votes += [(100 + k, 1, " Abusive " if bad else "ok"), (100 + k, 2, "abusive" if bad != (k == 50) else "OK")]
+    return docs, votes
+
+
 def test_abuse_tables(spark):
-    docs = [(1, "You are a w0rthless m0r0n.", "a", 1, 1), (2, "Please rotate the cache before the release.", "a", 1, 1), (3, None, None, 1, 1), (4, "", "b", 1, 1), (5, "Kill the child process and abort the worker.", "b", 1, 1), (6, "fine words only. " * 400 + "You are a stupid b a s t a r d.", "b", 1, 1)]
-    documents = spark.createDataFrame(docs, DOCS)
-    labels = spark.createDataFrame([(1, 1, " Abusive "), (2, 1, "ok"), (2, 1, "ok"), (5, 2, None), (5, 3, "unsure")], "doc_id bigint, rater_id int, label string")
-    got = {r["doc_id"]: r["flagged"] for r in abuse.scores(documents, labels).collect()}
-    assert got == {1: True, 2: False, 3: False, 4: False, 5: False, 6: True}
+    docs = [(1, "You are a w0rthless m0r0n.", "a", 1, 1), (2, "Please rotate the cache before the release.", "a", 1, 1), (3, None, None, 1, 1), (4, "", "b", 1, 1), (5, "Kill the child process and abort the worker.", "b", 1, 1), (6, "fine words only. " * 400 + "Shut up, you stupid b a s t a r d.", "b", 1, 1), (7, "You are a w\u200borthless m***n, ebbe.", "b", 1, 1), (8, "The women of the index are cached.", "b", 1, 1)]
+    more, votes = abuse_corpus()
+    documents = spark.createDataFrame(docs + more, DOCS)
+    labels = spark.createDataFrame([(2, 1, "ok"), (2, 1, "ok"), (5, 2, None), (5, 3, "unsure"), *votes], "doc_id bigint, rater_id int, label string")
+    got = {r["doc_id"]: r["flagged"] for r in abuse.scores(documents, labels).where("doc_id < 100").collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: False, 6: True, 7: True, 8: False}
     rates = {r["source"]: (r["documents"], r["flagged"]) for r in abuse.rates(abuse.scores(documents, labels.where("false"))).collect()}
-    assert rates["a"][0] == 2 and rates[None] == (1, 0)
+    assert rates["a"] == (2, 0) and rates[None] == (1, 0)
     assert abuse.scores(documents.where("false"), labels).count() == 0
 
 
 def test_counterfactual_swaps_level_groups(monkeypatch):
-    bags = [(f"{g} should be slaves", 1) for g in ("women", "migrants")] * 3 + [("the women page is cached", 0), ("the index is cached", 0)] * 3
-    groups = ("women", "migrants", "refugees", "foreigners")
+    bags = [abuse.Bag(f"{g} should be slaves", 2, 0) for g in ("women", "migrants")] * 3 + [abuse.Bag("the women page is cached", 0, 2), abuse.Bag("the index is cached", 0, 2)] * 3
+    groups = ("women", "migrants")
 
     def spread():
         model = abuse.fit(bags)
-        weights = [model.weights.get(g, 0.0) for g in groups if g in model.weights]
-        return max(weights) - min(weights)
+        z = abuse.logits(abuse.encode([(g,) for g in groups]), model.weights, 0.0)
+        return z.max() - z.min()
 
     level = spread()
     monkeypatch.setattr(abuse, "SWAP", 0.0)
     assert level < spread() / 2
+
+
+def test_identity_terms_are_found_in_frames():
+    found = abuse.identity_terms([tuple(s.split()) for s in ("the migrants are vermin and", "the women are vermin and", "the zorbs are vermin and", "all migrants should be slaves", "all women should be slaves", "all zorbs should be slaves", "the cache is cold and")])
+    assert found == ["migrants", "women", "zorbs"]
+
+
+def test_fit_on_no_labels_scores_zero():
+    assert abuse.fit([]).scores(["x", None]).tolist() == [0, 0] and abuse.fit([abuse.Bag("a b", 1, 0)]).scores(["a b"]).tolist() == [0]
