@@ -1,17 +1,20 @@
 """Source files nobody of the project wrote by hand: generated, minified, third-party, or data saved as code.
 
-Minifiers' banners, map references and tables of literals label a bounded sample as machine-shaped; authors' notices, or
-short lines without a notice, label it as hand-written. Files with a generator's notice have no label: most look like any
-other code. Notices are cut off before features are taken. A random forest on compression ratio, token entropy, identifier
-lengths, comment density and line shape then scores every file. A file is reported if the forest finds it machine-shaped,
-or if its notice or the naming convention of a tool or of a vendored tree says so; a notice or tree that names one of the
-repositories of the table is first-party and no case.
+A random forest scores every code file by compression ratio, token entropy, identifier lengths, comment density, line and
+literal shape, role, depth and naming marks of the path. Its labels are header notices alone, which are cut off before
+features are taken: a generator's, a minifier's or another project's notice is a positive, an own authors' notice or none a
+negative. Files without a notice are negatives of little weight, and negatives that a fit finds suspicious are left out of
+the next (reliable negatives), for many of them are generated all the same.
+
+A notice is also evidence by itself, for most generated files look like any other code. So a file is reported if its notice
+says so, if the forest does, or by one of two exact checks: it lies in a vendored tree, or nearly all of it are literals
+(data stored as code). A notice or tree that names one of the repositories of the table is first-party and no case.
 
 Cases: null or empty content has only its path; content that is not text is taken as characters and scored like any;
 null role, size or path are unknown values; repeated contents are scored each; prose, plain configuration and lock-step
-formats are never scored by shape (only code is). With fewer than ``LEAST_LABELLED`` labelled files of either class the
-shape rule alone decides. Extra columns are ignored. A name, a path part or a string that merely contains a word such as
-``generated`` or ``vendor`` says nothing.
+formats are never scored by shape (only code is). Without a labelled file of each class there is no forest and its score
+is 0. Extra columns are ignored. A name, a path part or a string that merely contains a word such as ``generated`` or
+``vendor`` says nothing.
 """
 
 from __future__ import annotations
@@ -31,9 +34,14 @@ from pyspark.sql import functions as F
 from corvane.session import Stored
 
 MOST_LABELLED = 20_000  # files the forest is fitted on at most, by hash of the id
-LEAST_LABELLED = 8
-THRESHOLD = 0.35
-FEATURES = ("log_size", "compression", "token_entropy", "identifier_length", "short_identifiers", "comments", "line_mean", "line_max", "blanks", "digits", "literals", "distinct_tokens", "literal_lines")
+THRESHOLD = 0.62
+RELIABLE = 0.5  # files without a foreign notice that a fit scores from here on are no negatives of the next
+UNLABELLED_WEIGHT = 0.25
+CLEANINGS = 2
+TREES, DEPTH = 32, 8
+FEATURES = ("log_size", "compression", "token_entropy", "identifier_length", "short_identifiers", "comments", "line_mean", "line_max", "blanks", "digits", "literals", "distinct_tokens", "literal_lines", "tool_name", "minified_name", "generated_role", "path_depth")
+LITERALS, LITERAL_LINES, TOOL_NAME = FEATURES.index("literals"), FEATURES.index("literal_lines"), FEATURES.index("tool_name")
+DATA_FROM = 2000  # characters: shorter tables of literals are code like any
 CODE = ("py", "go", "js", "mjs", "cjs", "jsx", "ts", "tsx", "cs", "java", "c", "h", "cpp", "rs", "rb", "php", "css", "scss", "kt", "swift")
 
 # --- notices --------------------------------------------------------------------------------------------------------
@@ -43,9 +51,9 @@ GENERATED = re.compile(
     r"|\bDiese Datei wurde (?:von|mit|automatisch)\b|\berzeugt\b[^\n]{0,20}\bNicht (?:bearbeiten|ändern)\b|\b(?:généré|genere)e?s? (?:par|automatiquement)\b|\bNe pas modifier\b|\b[Gg]enerado (?:por|automáticamente)\b|\bNo editar\b",
     re.IGNORECASE,
 )
-COPIED = re.compile(r"\b(?:copied|vendored|imported|taken|adapted|forked|ported)\b(?: verbatim| unchanged)? from (?:the )?([\w.\-/]+)|@licen[sc]e (?:the )?([\w.\-]+)|\bCopyright \(c\) [\d,\- ]*(?:by )?(?:the )?([\w.\-]+)|\bSPDX-License-Identifier\b|\bThis file is part of (?:the )?([\w.\-]+)|\(c\) (?:\d+ )?(?:the )?([\w.\-]+) (?:authors|project|contributors)", re.IGNORECASE)
+COPIED = re.compile(r"\b(?:vendored )?copy of (?:the )?([\w.\-/]+)|\b(?:copied|vendored|imported|taken|adapted|forked|ported)\b(?: verbatim| unchanged)? from (?:the )?([\w.\-/]+)|@licen[sc]e (?:the )?([\w.\-]+)|\bCopyright \(c\) [\d,\- ]*(?:by )?(?:the )?([\w.\-]+)|\bSPDX-License-Identifier\b|\bThis file is part of (?:the )?([\w.\-]+)|\(c\) (?:\d+ )?(?:the )?([\w.\-]+) (?:authors|project|contributors)", re.IGNORECASE)
 BANNER = re.compile(r"^/\*[!*]\s*[@\w.\-]+ v?\d+(?:\.\d+)+")
-MAPPED = re.compile(r"(?:^|\n)(?://|/\*)[#@] sourceMappingURL=", re.MULTILINE)
+MAPPED = re.compile(r"(?:^|\n)(?://|/\*)[#@] sourceMappingURL=[^\n]*\s*$")
 # File names and directories that tools write, and directories that hold other people's sources.
 WRITTEN_NAMES = re.compile(r"(?:\.pb\.\w+|_pb2(?:_grpc)?\.pyi?|_pb\.(?:ts|js|d\.ts)|\.g\.(?:cs|dart|i\.cs)|\.designer\.\w+|\.gen\.\w+|\.generated\.\w+|_generated\.\w+|\.freezed\.dart)$|(?:^|/)(?:__generated__|generated|gen|autogen|\.generated)/", re.IGNORECASE)
 VENDORED = re.compile(r"(?:^|/)(?:vendor|third_party|third-party|thirdparty|3rdparty|node_modules|bower_components|external|externals|site-packages)/(?:@[\w.\-]+/)?([\w.\-]+)/", re.IGNORECASE)
@@ -87,7 +95,7 @@ def notice(head: str, text: str) -> tuple[str, str | None]:
         holder = next((g for g in m.groups() if g), None) or holder
         if holder:
             return "copied", holder.strip(".,").lower()
-    if BANNER.match(head.lstrip()) or MAPPED.search(text[-400:]):
+    if BANNER.match(head.lstrip()) or "sourceMappingURL=" in text and MAPPED.search(text):
         return "minified", None
     return "none", None
 
@@ -99,10 +107,10 @@ def entropy(counts: Counter) -> float:
 
 def shape(body: str) -> list[float]:
     """The features of a text without its leading comments and map reference."""
-    body = MAPPED.split(body)[0] if "sourceMappingURL" in body[-400:] else body
+    body = MAPPED.split(body)[0] if "sourceMappingURL=" in body else body
     n = len(body)
     if not n:
-        return [0.0] * len(FEATURES)
+        return [0.0] * 13
     raw = body.encode("utf-8", "surrogatepass")
     lines = body.split("\n")
     solid = [line for line in lines if line.strip()] or [""]
@@ -141,51 +149,89 @@ def text_of(raw: bytes | str | None) -> str:
 
 
 def evidence(files: DataFrame) -> DataFrame:
-    """file_id, features, notice, holder, tree (the vendored package), written (a tool's file name), code, machine (labels by shape of literals)."""
-    schema = pa.schema([("file_id", pa.int64()), ("features", pa.list_(pa.float64())), ("notice", pa.string()), ("holder", pa.string()), ("tree", pa.string()), ("written", pa.bool_()), ("code", pa.bool_()), ("label", pa.float64())])
+    """file_id, features, notice, holder, tree (the vendored package), code, data (literals nearly throughout)."""
+    schema = pa.schema([("file_id", pa.int64()), ("features", pa.list_(pa.float64())), ("notice", pa.string()), ("holder", pa.string()), ("tree", pa.string()), ("code", pa.bool_()), ("data", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for key, path, role, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 path = path or ""
                 text = text_of(raw.as_py())
                 head, body = leading_comment(text)
                 kind, holder = notice(head, text)
-                features = shape(body)
+                features = [*shape(body), float(bool(WRITTEN_NAMES.search(path))), float(bool(MINIFIED_NAME.search(path))), float((role or "").strip().lower() == "generated"), float(path.count("/"))]
                 tree = VENDORED.search(path)
                 code = path.rsplit(".", 1)[-1].lower() in CODE and "\0" not in text
-                # labels: a minifier's banner, or a table of literals; a notice of authors or none says written by hand
-                label = 1.0 if kind == "minified" or features[-1] >= 0.9 and len(body) > 2000 else 0.0 if kind == "copied" or kind == "none" and features[7] < 6.5 and features[-1] < 0.5 else None
-                rows.append((key, features, kind, holder, tree[1].lower() if tree else None, bool(WRITTEN_NAMES.search(path)), code, label))
+                data = code and len(body) > DATA_FROM and (features[LITERAL_LINES] >= 0.9 or features[LITERALS] >= 0.9)
+                rows.append((key, features, kind, holder, tree[1].lower() if tree else None, code, data))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], type=f.type) for f in schema], schema=schema)
 
-    return files.select(F.col("file_id").cast("bigint"), "rel_path", "content").mapInArrow(run, "file_id bigint, features array<double>, notice string, holder string, tree string, written boolean, code boolean, label double")
+    return files.select(F.col("file_id").cast("bigint"), "rel_path", "role", "content").mapInArrow(run, "file_id bigint, features array<double>, notice string, holder string, tree string, code boolean, data boolean")
+
+
+def marked(files: DataFrame) -> DataFrame:
+    """The evidence with ``kind`` (the notice, ``own`` where it names a repository of the table) and ``foreign_tree``."""
+    own = files.select(F.lower(F.trim("repo")).alias("name")).where("name is not null").distinct().withColumn("own", F.lit(True))
+    seen = evidence(files)
+    joined = seen.join(own.select(F.col("name").alias("holder"), F.col("own").alias("own_holder")), "holder", "left").join(own.select(F.col("name").alias("tree"), F.col("own").alias("own_tree")), "tree", "left")
+    kind = F.when((F.col("notice") == "copied") & F.col("own_holder").isNotNull(), "own").otherwise(F.col("notice"))
+    return joined.select("file_id", "features", "code", "data", kind.alias("kind"), (F.col("tree").isNotNull() & F.col("own_tree").isNull()).alias("foreign_tree"))
+
+
+def forest(sample: DataFrame):
+    """The forest of a bounded sample with ``vector``, ``kind``, or None without files of both classes."""
+    label = F.col("kind").isin("generated", "copied", "minified").cast("double")
+    rows = sample.select("file_id", "vector", label.alias("label"), F.when(F.col("kind") == "none", UNLABELLED_WEIGHT).otherwise(1.0).alias("trust"))
+    sums = {r["label"]: r["trust"] for r in rows.groupBy("label").agg(F.sum("trust").alias("trust")).collect()}
+    if len(sums) < 2:
+        return None
+    weight = F.col("trust") * F.when(F.col("label") == 1, 1 / sums[1.0]).otherwise(1 / sums[0.0]) * (sums[0.0] + sums[1.0]) / 2
+    return RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, maxBins=32, minInstancesPerNode=5, seed=7).fit(rows.withColumn("weight", weight))
+
+
+def probability(model, rows: DataFrame) -> DataFrame:
+    """rows with ``score``."""
+    if model is None:
+        return rows.withColumn("score", F.lit(0.0))
+    own = model.transform(rows)
+    return own.withColumn("score", F.when(F.col("code"), vector_to_array("probability")[1]).otherwise(0.0)).drop("probability", "rawPrediction", "prediction")
+
+
+def trained(rows: DataFrame, most: int = MOST_LABELLED):
+    """The forest on reliable negatives of a bounded sample of code files with notices as labels."""
+    sample = rows.where("code").orderBy(F.xxhash64("file_id"), "file_id").limit(most)
+    model = forest(sample)
+    for _ in range(CLEANINGS if model is not None else 0):
+        model = forest(probability(model, sample).where(f"kind IN ('generated', 'copied', 'minified') OR score < {RELIABLE}"))
+    return model
 
 
 def scores(files: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """file_id, repo-independent evidence and ``score``: the forest's probability that the file is machine-shaped."""
-    stored = Stored(files.sparkSession)
-    seen, _ = stored.table(evidence(files))
-    labelled = seen.where("code AND label IS NOT NULL")
-    sample = labelled.orderBy(F.xxhash64("file_id"), "file_id").limit(most).select("label", array_to_vector("features").alias("features"))
-    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if min(counts.get(0.0, 0), counts.get(1.0, 0)) < LEAST_LABELLED:
-        return seen.withColumn("score", F.when(F.col("code") & (F.col("features")[len(FEATURES) - 1] >= 0.9), 1.0).when(F.col("code") & (F.col("features")[7] > 6.5), 1.0).otherwise(0.0))
-    balanced = sample.withColumn("weight", F.when(F.col("label") == 1, 0.5 / counts[1.0]).otherwise(0.5 / counts[0.0]) * sum(counts.values()))
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=24, maxDepth=6, maxBins=32, seed=7).fit(balanced)
-    scored = forest.transform(seen.withColumn("values", F.col("features")).withColumn("features", array_to_vector("values")))
-    return scored.select("file_id", F.col("values").alias("features"), "notice", "holder", "tree", "written", "code", "label", F.when(F.col("code"), vector_to_array("probability")[1]).otherwise(0.0).alias("score"))
+    """file_id, features, code, data, kind, foreign_tree, score: the forest's probability that a notice would name a maker other than the project's authors."""
+    seen, _ = Stored(files.sparkSession).table(marked(files))
+    rows = seen.withColumn("vector", array_to_vector("features"))
+    return probability(trained(rows, most), rows).drop("vector")
+
+
+def held_out(files: DataFrame, folds: int = 3, most: int = MOST_LABELLED) -> DataFrame:
+    """kind, files, reported: how many code files of each kind of notice a forest fitted without them finds."""
+    seen, _ = Stored(files.sparkSession).table(marked(files))
+    rows = seen.withColumn("vector", array_to_vector("features"))
+    fold = F.pmod(F.xxhash64("file_id"), F.lit(folds))
+    parts = [probability(trained(rows.where(fold != k), most), rows.where((fold == k) & F.col("code"))) for k in range(folds)]
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    return scored.groupBy("kind", "foreign_tree", "data", (F.col("features")[TOOL_NAME] > 0).alias("tool_name")).agg(F.count("*").alias("files"), F.count_if(F.col("score") >= THRESHOLD).alias("reported"))
 
 
 def classified(files: DataFrame) -> DataFrame:
-    """file_id, reason (generated | third_party | machine_shaped | null for hand-written), score."""
-    own = files.select(F.lower(F.trim("repo")).alias("name")).where("name is not null").distinct().withColumn("own", F.lit(True))
+    """file_id, reason (generated | third_party | machine_shaped | data | null for hand-written), score."""
     scored = scores(files)
-    marked = scored.join(own.select(F.col("name").alias("holder"), F.col("own").alias("own_holder")), "holder", "left").join(own.select(F.col("name").alias("tree"), F.col("own").alias("own_tree")), "tree", "left")
-    foreign = (F.col("notice") == "copied") & F.col("own_holder").isNull() | F.col("tree").isNotNull() & F.col("own_tree").isNull()
-    reason = F.when((F.col("notice") == "generated") | F.col("written"), "generated").when(foreign, "third_party").when(F.col("score") >= THRESHOLD, "machine_shaped")
-    return marked.select("file_id", reason.alias("reason"), "score")
+    noticed = F.when(F.col("kind") == "generated", "generated").when(F.col("kind") == "copied", "third_party").when(F.col("kind") == "minified", "machine_shaped")
+    exact = F.when(F.col("foreign_tree"), "third_party").when(F.col("data"), "data")
+    return scored.select("file_id", F.coalesce(noticed, F.when(F.col("score") >= THRESHOLD, "machine_shaped"), exact).alias("reason"), "score")
 
 
 def found(files: DataFrame) -> DataFrame:

@@ -91,6 +91,15 @@ def test_origin_tables(spark):
     got = {r["file_id"] for r in origin.found(files).collect()}
     assert got == {200, 201, *range(100, 115)}
     assert origin.found(files.where("false")).count() == 0
+    held = {(r["kind"], r["tool_name"]): (r["files"], r["reported"]) for r in origin.held_out(files).collect()}
+    assert held["minified", False] == (12, 12) and held["none", False][1] == 3  # those without a banner
+
+
+def test_origin_without_labels(spark):
+    rows = [(1, "own", "a.py", None, None, b"x = 1\n", None, None), (2, "own", "b.py", None, None, ("X = [\n" + '    "abcdefgh", "ijklmnop",\n' * 100 + "]\n").encode(), None, None), (3, "own", "c.js", None, None, b"// Vendored copy of quill, pinned at 3\nf()\n", None, None)]
+    files = spark.createDataFrame(rows, FILES)
+    assert {r["file_id"]: r["reason"] for r in origin.classified(files).collect()} == {1: None, 2: "data", 3: "third_party"}
+    assert {r["file_id"]: r["reason"] for r in origin.classified(files.where("file_id < 3")).collect()} == {1: None, 2: "data"}
 
 
 def test_leakage_tables(spark):
