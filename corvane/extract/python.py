@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.extract import edges_of, resolve, too_large
+from corvane.extract import edges_of, limitation, resolve, too_large
 from corvane.functions.exprs import directory, normalise
 
 MOST_BYTES = 512 * 1024
@@ -35,4 +35,6 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     choices = F.array(F.struct(F.lit(0).alias("prio"), F.when(F.col("module") != "", F.concat("spec", F.lit(".py"))).alias("p")), F.struct(F.lit(1).alias("prio"), F.concat("spec", F.lit("/__init__.py")).alias("p")))
     relative = near.select("root", "src", "spec", F.explode(choices).alias("c")).select("root", "src", "spec", F.col("c.prio").alias("prio"), normalise(F.col("c.p")).alias("path")).where("path IS NOT NULL")
     pairs = resolve(absolute.unionByName(relative), files)
+    none = files.select("root").distinct().join(files.where(F.col("language") == "Python").select("root").distinct(), "root", "left_anti")
+    limits = limits.unionByName(limitation(none, "no_python_files", "no Python in this tree", F.lit("python")))
     return edges_of(pairs, "imports", "python_regex", "heuristic"), limits

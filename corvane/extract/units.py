@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.extract import limitation
-from corvane.functions.exprs import base_name, directory, normalise
+from corvane.functions.exprs import base_name, directory, normalise, outside
+
+# Directories in which no module or project is looked for.
+GO_SKIPPED = (".git", ".claude", "node_modules", "vendor", "__pycache__", ".venv", "venv", "env", ".env", "dist", "build", ".next", ".nuxt", ".turbo", ".cache", "coverage", "testdata", ".pytest_cache", "site-packages")
+CSHARP_SKIPPED = (".git", ".claude", "node_modules", "bin", "obj", ".vs", ".idea", "packages", "TestResults")
+
+
+def ancestors(parts, last):
+    """The directories from '.' down to the first ``last`` parts."""
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i == 0, ".").otherwise(F.array_join(F.slice(parts, F.lit(1), i), "/")))
 
 
 class Units(NamedTuple):
@@ -33,7 +42,7 @@ def go_imports(files: DataFrame) -> DataFrame:
 
 def module_roots(files: DataFrame) -> DataFrame:
     """root, dir, module of every go.mod; a tree without one is a module named after its root."""
-    mods = files.where(base_name(F.col("rel_path")) == "go.mod").where(~F.exists(F.split("rel_path", "/"), lambda p: F.startswith(p, F.lit(".")) | p.isin("vendor", "node_modules", "testdata")))
+    mods = files.where(base_name(F.col("rel_path")) == "go.mod").where(outside(F.col("rel_path"), GO_SKIPPED))
     named = mods.select("root", directory(F.col("rel_path")).alias("dir"), F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1).alias("module")).where("module <> ''")
     bare = files.select("root").distinct().join(named.select("root"), "root", "left_anti").select("root", F.lit(".").alias("dir"), F.substring_index("root", "@", 1).alias("module"))
     return named.unionByName(bare)
@@ -43,9 +52,10 @@ def go_units(files: DataFrame) -> Units:
     """Packages by directory; the import path is the innermost module's name and the directory below it."""
     go = files.where(F.col("language") == "Go").select("root", F.col("rel_path").alias("path"), directory(F.col("rel_path")).alias("dir"))
     modules = module_roots(files)
-    within = (F.col("m.dir") == ".") | (F.col("d.dir") == F.col("m.dir")) | F.startswith(F.col("d.dir"), F.concat(F.col("m.dir"), F.lit("/")))
-    placed = go.select("root", "dir").distinct().alias("d").join(modules.alias("m"), (F.col("d.root") == F.col("m.root")) & within)
-    inner = placed.groupBy("d.root", "d.dir").agg(F.max(F.struct(F.when(F.col("m.dir") == ".", 0).otherwise(F.length("m.dir")).alias("depth"), F.col("m.dir").alias("base"), F.col("m.module").alias("module"))).alias("m"))
+    # a directory is matched by its ancestors: an equi-join, however many modules a tree has
+    parts = F.when(F.col("dir") == ".", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
+    placed = go.select("root", "dir").distinct().select("root", "dir", F.posexplode(ancestors(parts, F.size(parts))).alias("depth", "base")).join(modules.select("root", F.col("dir").alias("base"), "module"), ["root", "base"])
+    inner = placed.groupBy("root", "dir").agg(F.max(F.struct("depth", "base", "module")).alias("m"))
     below = F.when(F.col("m.base") == ".", F.when(F.col("dir") == ".", "").otherwise(F.concat(F.lit("/"), "dir"))).otherwise(F.substring("dir", F.length("m.base") + 1, F.length("dir")))
     units = inner.select("root", F.concat("m.module", below).alias("unit_id"), F.lit("go").alias("kind"), "dir")
     # two modules may claim one path: the first module root in order wins
@@ -59,18 +69,19 @@ def go_units(files: DataFrame) -> Units:
 def csharp_units(files: DataFrame) -> Units:
     """Projects with their references; a source file belongs to the innermost project above it."""
     schema = "ItemGroup array<struct<ProjectReference: array<struct<_Include: string>>, PackageReference: array<struct<_Include: string, _Version: string>>>>"
-    projects = files.where(F.endswith(F.lower("rel_path"), F.lit(".csproj"))).select("root", "text", F.col("rel_path").alias("unit_id"), directory(F.col("rel_path")).alias("dir"))
+    projects = files.where(F.endswith(F.lower("rel_path"), F.lit(".csproj")) & outside(F.col("rel_path"), CSHARP_SKIPPED)).select("root", "text", F.col("rel_path").alias("unit_id"), directory(F.col("rel_path")).alias("dir"))
     parsed = projects.withColumn("xml", F.from_xml("text", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     items = parsed.select("root", "unit_id", "dir", F.explode("xml.ItemGroup").alias("g"))
     references = items.select("root", "unit_id", "dir", F.explode("g.ProjectReference").alias("r")).select("root", F.col("unit_id").alias("src_unit"), normalise(F.concat_ws("/", "dir", F.translate("r._Include", "\\", "/"))).alias("dst_unit"))
     edges = references.join(projects.select("root", F.col("unit_id").alias("dst_unit")), ["root", "dst_unit"], "left_semi").where("src_unit <> dst_unit").select("root", "src_unit", "dst_unit").distinct()
     packages = items.select("root", "unit_id", F.explode("g.PackageReference").alias("p")).select("root", "unit_id", F.col("p._Include").alias("name"), F.col("p._Version").alias("version"))
-    sources = files.where(F.rlike("rel_path", F.lit(r"(?i)\.(?:cs|axaml|xaml)$"))).select("root", F.col("rel_path").alias("path"))
+    sources = files.where(F.rlike("rel_path", F.lit(r"(?i)\.(?:cs|axaml|xaml)$")) & outside(F.col("rel_path"), CSHARP_SKIPPED)).select("root", F.col("rel_path").alias("path"))
     # a file is matched by its ancestor directories: an equi-join, no theta join over all projects
-    ancestors = F.transform(F.sequence(F.lit(0), F.size(F.split("path", "/")) - 1), lambda i: F.when(i == 0, ".").otherwise(F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/")))
-    above = sources.select("root", "path", F.posexplode(ancestors).alias("depth", "dir")).join(projects.select("root", "dir", "unit_id"), ["root", "dir"])
+    above = sources.select("root", "path", F.posexplode(ancestors(F.split("path", "/"), F.size(F.split("path", "/")) - 1)).alias("depth", "dir")).join(projects.select("root", "dir", "unit_id"), ["root", "dir"])
     owned = above.groupBy("root", "path").agg(F.max(F.struct("depth", "unit_id")).alias("best")).select("root", F.col("best.unit_id").alias("unit_id"), "path", F.lit(False).alias("test"))
-    bad = limitation(parsed.where("xml IS NULL OR xml.ItemGroup IS NULL"), "csproj_parse_error", "no item groups could be read", F.col("unit_id"))
+    # a project without item groups is valid: only text that is no XML element is an error
+    unreadable = limitation(projects.where("text IS NULL"), "csproj_unreadable", "the content is no text", F.col("unit_id"))
+    bad = limitation(projects.where(F.col("text").isNotNull() & ~F.rlike("text", F.lit(r"(?s)^\ufeff?\s*(?:<\?xml.*?\?>\s*)?(?:<!--.*?-->\s*)*<Project\b[^>]*(?:/>|>.*</Project>)\s*$"))), "csproj_parse_error", "no project element could be read", F.col("unit_id")).unionByName(unreadable)
     none = limitation(files.where(F.endswith("rel_path", F.lit(".cs"))).select("root").distinct().join(projects.select("root").distinct(), "root", "left_anti"), "no_csproj_files", "no project file above C# sources", F.lit("csharp"))
     return Units(projects.select("root", "unit_id", F.lit("csproj").alias("kind"), "dir"), owned, edges, bad.unionByName(none), packages)
 

@@ -15,6 +15,7 @@ LANGUAGE_OF_EXTENSION = {
 ADVISORY = ("contextual_trimmed", "critical_path_over_budget", "over_budget")
 CONTENT_FEATURES = ("context", "explain-file", "impact", "verify-plan", "failure-context", "repo-overview", "related", "tests", "symbols")
 EDIT_TOOLS = ("Edit", "Write", "MultiEdit", "NotebookEdit", "str_replace_editor")
+# Notes of usual top-level directories.
 TOP_NOTES = {"cmd": "command entry points", "internal": "internal packages", "pkg": "public packages", "api": "API definitions", "web": "web/frontend", "frontend": "web/frontend", "ui": "web/frontend", "test": "test suites", "tests": "test suites", "spec": "test suites", "specs": "test suites", "docs": "documentation", "doc": "documentation", "documentation": "documentation", "scripts": "build/automation scripts", "script": "build/automation scripts", "deploy": "infrastructure/deployment", "infra": "infrastructure/deployment", "terraform": "infrastructure/deployment", "k8s": "infrastructure/deployment", "kubernetes": "infrastructure/deployment", "proto": "protobuf definitions", "protobuf": "protobuf definitions"}
 AUTO_BUDGET = 999_999
 
@@ -43,6 +44,12 @@ def directory(path: Column) -> Column:
     return F.when(cut > 0, F.substring(path, F.lit(1), cut)).otherwise(F.lit("."))
 
 
+def outside(path: Column, names: Sequence[str]) -> Column:
+    """No directory above the file has one of the names."""
+    parts = F.split(path, "/")
+    return ~F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(d) for d in names])) | (F.size(parts) == 1)
+
+
 def walk_key(path: Column) -> Column:
     """Order of a directory walk: by path components."""
     return F.split(path, "/")
@@ -136,16 +143,18 @@ def seeds_of(command: Column) -> Column:
     return F.filter(F.transform(F.split(F.split(given, " --")[0], ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def run_command(path: Column, systems: Sequence[str] = ()) -> Column:
-    other = next(({"pytest": "pytest", "Jest": "npx jest", "Vitest": "npx vitest run"}[s] for s in systems if s in ("pytest", "Jest", "Vitest")), "")
-    return F.when(F.endswith(path, F.lit(".go")), F.concat(F.lit("go test ./"), directory(path), F.lit("/..."))).otherwise(F.lit(other))
+def run_command(path: Column, system: Column) -> Column:
+    """Go by the file, others by the first test system of the tree that runs single files; '' without one."""
+    go = F.when(directory(path) == ".", "go test .").otherwise(F.concat(F.lit("go test ./"), directory(path), F.lit("/...")))
+    other = F.when(system == "pytest", F.concat(F.lit("pytest "), path)).when(system.isin("Jest", "Vitest"), F.concat(F.lit("npx "), F.lower(system), F.lit(" "), path)).otherwise("")
+    return F.when(F.endswith(path, F.lit(".go")), go).otherwise(other)
 
 
 def risk_notes(path: Column, file_role: Column) -> Column:
     name = F.lower(base_name(path))
     notes = F.array(
         F.when(file_role == "generated", "generated file"),
-        F.when(F.endswith(name, F.lit(".go")) & (F.contains(name, F.lit("interface")) | F.contains(name, F.lit("iface"))), "interface definition"),
+        F.when(F.endswith(name, F.lit(".go")) & (F.contains(path, F.lit("interface")) | F.contains(name, F.lit("iface"))), "interface definition"),
         F.when(any_of(*[F.contains(name, F.lit(w)) for w in ("handler", "router", "controller", "api")]), "request surface"),
     )
     return F.filter(notes, lambda n: n.isNotNull())

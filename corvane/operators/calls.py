@@ -53,9 +53,9 @@ def totals(calls: DataFrame) -> DataFrame:
 
 
 def limitation_kinds(calls: DataFrame) -> DataFrame:
-    """kind, class (advisory or quality), n, first (seq, position): in order of first appearance."""
+    """kind, class (advisory or quality), n, first_seq, first_pos: in order of first appearance."""
     kinds = calls.select("seq", F.posexplode("limitation_kinds").alias("pos", "kind"))
-    return kinds.groupBy("kind").agg(F.count("*").alias("n"), F.min(F.col("seq") * 1000 + F.col("pos")).alias("first_at")).select("kind", F.when(F.col("kind").isin(*ADVISORY), "advisory").otherwise("quality").alias("class"), "n", "first_at")
+    return kinds.groupBy("kind").agg(F.count("*").alias("n"), F.min(F.struct("seq", "pos")).alias("first")).select("kind", F.when(F.col("kind").isin(*ADVISORY), "advisory").otherwise("quality").alias("class"), "n", F.col("first.seq").alias("first_seq"), F.col("first.pos").alias("first_pos"))
 
 
 def parsed_time(ts: Column) -> Column:

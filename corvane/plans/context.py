@@ -40,7 +40,7 @@ def select(candidates: DataFrame, signatures: bool = False) -> DataFrame:
     left = first.select("request", F.greatest(F.col("_b") - F.col("tier1"), F.lit(0)).alias("left"))
     second = tiered.where("tier = 2").join(left, "request")
     order = [F.col("score").desc(), F.col("path")]
-    chosen = fit.first_fit(second, ["request"], order, F.col("left"), "tokens", "actual").drop("left")
+    chosen = fit.first_fit_marked(second, ["request"], order, F.col("left"), "tokens", ["path"], "actual").drop("left")
     return tiered.where("tier = 1").withColumn("included", F.lit(True)).unionByName(chosen)
 
 

@@ -39,7 +39,8 @@ def tests_of(graph: g.Graph, seeds: DataFrame) -> DataFrame:
     edges = g.relations(graph, seeds, ("tests", "importers")).join(graph.files.select("root", F.col("rel_path").alias("dst"), "role"), ["root", "dst"])
     signals = edges.where((F.col("relation") == "tests") | (F.col("role") == "test")).withColumn("ord", F.when(F.col("relation") == "tests", 1).otherwise(2))
     once = signals.groupBy("root", "src", "dst").agg(F.min("ord").alias("ord"))
-    return once.select("root", "src", F.col("dst").alias("rel_path"), exprs.run_command(F.col("dst"), ("pytest", "Jest")).alias("run_command"), F.when(F.col("ord") == 1, 0.95).otherwise(0.97).alias("confidence"))
+    routed = once.join(tree.file_runner(graph.files), "root", "left")
+    return routed.select("root", "src", F.col("dst").alias("rel_path"), exprs.run_command(F.col("dst"), F.coalesce("system", F.lit(""))).alias("run_command"), F.when(F.col("ord") == 1, 0.95).otherwise(0.97).alias("confidence"))
 
 
 def all_tests(files: DataFrame, budget: int) -> DataFrame:
@@ -172,23 +173,130 @@ def failure_context(files: DataFrame, failures: DataFrame) -> tuple[DataFrame, D
     return signals, suspects, limits
 
 
+def suspected_commands(suspects: DataFrame) -> DataFrame:
+    """root, log_id, command: what to run for the suspected files of a log."""
+    per_log = suspects.groupBy("root", "log_id").agg(F.bool_or(F.endswith("path", F.lit("_test.go"))).alias("tests"), F.bool_or(F.endswith("path", F.lit(".go"))).alias("go"))
+    commands = F.filter(F.array(F.when(F.col("tests"), "go test ./... -v"), F.when(F.col("go"), "go build ./...")), lambda c: c.isNotNull())
+    return per_log.select("root", "log_id", F.explode(commands).alias("command"))
+
+
+def failure_requests(suspects: DataFrame, budget: int = 6000) -> DataFrame:
+    """The suspected files of each log as the request of one capsule: root, request, name, budget."""
+    return suspects.select("root", F.col("log_id").cast("string").alias("request"), F.col("path").alias("name"), F.lit(budget).alias("budget"))
+
+
+DOTNET = (".csproj", ".fsproj", ".vbproj", ".sln")
+
+
+def solution(files: DataFrame) -> DataFrame:
+    """root, sln: the shortest path of a solution file, the first in walk order on ties."""
+    named = files.where(exprs.extension(F.col("rel_path")) == ".sln")
+    return named.groupBy("root").agg(F.min_by("rel_path", F.struct(F.length("rel_path"), exprs.walk_key(F.col("rel_path")))).alias("sln"))
+
+
+def verify_systems(files: DataFrame) -> DataFrame:
+    """root, go, npm, python, dotnet, dotnet_tests, sln: what decides on the commands of every tree."""
+    has = lambda *names: F.coalesce(F.bool_or(F.col("name").isin(*names)), F.lit(False))
+    found = tree.build_systems(files).groupBy("root").agg(has("Go Modules").alias("go"), has("npm").alias("npm"), has("Poetry", "pip", "Pipenv").alias("python"), has("MSBuild").alias("msbuild"))
+    ext, name = exprs.extension(F.col("rel_path")), F.lower(exprs.base_name(F.col("rel_path")))
+    seen = files.groupBy("root").agg(F.bool_or(ext.isin(*DOTNET)).alias("project"), F.bool_or((ext == ".csproj") & (F.contains(name, F.lit("test")) | F.contains(name, F.lit("spec")))).alias("tested"))
+    every = seen.join(found, "root", "left").join(solution(files), "root", "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return every.select("root", flag("go").alias("go"), flag("npm").alias("npm"), flag("python").alias("python"), (flag("msbuild") | flag("project")).alias("dotnet"), flag("tested").alias("dotnet_tests"), "sln")
+
+
 def verify_plan(files: DataFrame, changed: DataFrame) -> DataFrame:
     """root, command, kind, required, cost, ord: what to run for changed files, by build system. changed: root, src."""
-    found = tree.build_systems(files).select("root", "name")
-    touched = changed.select("root", exprs.directory(F.col("src")).alias("dir"), F.endswith("src", F.lit(".go")).alias("go")).distinct()
-    tests = tree.test_systems(files).select("root", F.lit(True).alias("tested")).distinct()
-
-    def rows(system: str, *commands: tuple[str, str, bool, str]) -> DataFrame:
-        plan = F.array(*[F.struct(F.lit(c).alias("command"), F.lit(k).alias("kind"), F.lit(r).alias("required"), F.lit(cost).alias("cost"), F.lit(n).alias("ord")) for n, (c, k, r, cost) in enumerate(commands)])
-        return found.where(F.col("name") == system).select("root", F.explode(plan).alias("p")).select("root", "p.*")
-
-    go = rows("Go Modules", ("go build ./...", "build", True, "low"), ("go vet ./...", "lint", False, "low"))
-    go_tests = found.where("name = 'Go Modules'").select("root").join(touched.where("go"), "root").select("root", F.when(F.col("dir") == ".", "go test .").otherwise(F.concat(F.lit("go test ./"), "dir", F.lit("/..."))).alias("command"), F.lit("test").alias("kind"), F.lit(True).alias("required"), F.lit("medium").alias("cost"), F.lit(2).alias("ord"))
-    untouched = found.where("name = 'Go Modules'").select("root").join(touched.where("go").select("root"), "root", "left_anti").select("root", F.lit("go test ./...").alias("command"), F.lit("test").alias("kind"), F.lit(True).alias("required"), F.lit("high").alias("cost"), F.lit(2).alias("ord"))
-    out = go.unionByName(go_tests).unionByName(untouched)
-    out = out.unionByName(rows("npm", ("npm run build", "build", True, "medium"), ("npm test", "test", True, "medium")))
-    for system in ("Poetry", "pip", "Pipenv"):
-        out = out.unionByName(rows(system, ("pytest", "test", True, "medium")))
-    net = rows("MSBuild", ("dotnet build", "build", True, "medium"), ("dotnet test", "test", True, "high"))
-    out = out.unionByName(net.join(tests, "root", "left").where("kind = 'build' OR tested").drop("tested"))
-    return out.distinct()
+    systems = verify_systems(files).join(changed.select("root").distinct(), "root", "left_semi")
+    affected = affected_directories(changed)
+
+    def rows(when, ord_: int, command, kind: str, cost: str = "") -> DataFrame:
+        return systems.where(when).select("root", command.alias("command"), F.lit(kind).alias("kind"), F.lit(True).alias("required"), F.lit(cost).alias("cost"), F.lit(ord_).alias("ord"))
+
+    say = F.lit
+    out = rows("go", 0, say("go build ./..."), "build").unionByName(rows("go", 1, say("go vet ./..."), "vet", "fast"))
+    targeted = systems.where("go").join(affected, "root").select("root", F.concat(F.lit("go test ./"), "dir", F.lit("/... -race")).alias("command"), F.lit("test").alias("kind"), F.lit(True).alias("required"), F.lit("medium").alias("cost"), F.lit(2).alias("ord"))
+    every = systems.where("go").join(affected, "root", "left_anti").select("root", F.lit("go test ./... -race").alias("command"), F.lit("test").alias("kind"), F.lit(True).alias("required"), F.lit("slow").alias("cost"), F.lit(2).alias("ord"))
+    out = out.unionByName(targeted).unionByName(every)
+    out = out.unionByName(rows("npm", 3, say("npm run build"), "build")).unionByName(rows("npm", 4, say("npm test"), "test"))
+    out = out.unionByName(rows("python", 5, say("pytest"), "test"))
+    return out.unionByName(rows("dotnet", 6, F.concat_ws(" ", F.lit("dotnet build"), "sln"), "build")).unionByName(rows("dotnet AND dotnet_tests", 7, say("dotnet test"), "test", "medium"))
+
+
+def affected_directories(changed: DataFrame) -> DataFrame:
+    """root, dir: the directories of changed files; the root's own is none."""
+    return changed.select("root", exprs.directory(F.col("src")).alias("dir")).where("dir <> '.'").distinct()
+
+
+def verify_summary(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """root, considered, selected, limitation: the counts of a plan; a tree without a known build system has a limitation."""
+    systems = verify_systems(files).join(changed.select("root").distinct(), "root", "left_semi")
+    considered = F.when(F.col("go"), 4).otherwise(0) + F.when(F.col("npm"), 3).otherwise(0) + F.when(F.col("python"), 2).otherwise(0) + F.when(F.col("dotnet"), 2).otherwise(0)
+    selected = verify_plan(files, changed).groupBy("root").agg(F.count("*").alias("selected"))
+    counted = systems.select("root", considered.alias("considered")).join(selected, "root", "left")
+    return counted.select("root", "considered", F.coalesce("selected", F.lit(0)).alias("selected"), F.when(F.col("considered") == 0, "unknown_build_system").alias("limitation"))
+
+
+# --- limitations of answers -------------------------------------------------------------------------------------------
+def limits_of(graph: g.Graph, seeds: DataFrame, feature: str, budget: int = 4000) -> DataFrame:
+    """root, src, kind: what an answer about the seeds (root, src) cannot say. feature: related, tests, explain or impact."""
+    known = graph.files.select("root", F.col("rel_path").alias("src"), "language", "tokens")
+    placed = seeds.join(known, ["root", "src"], "left")
+    # languages with a graph; others are routed to no provider
+    routed = F.col("language").isin("Go", "Python", "JavaScript", "TypeScript", "C#")
+    missing = "seed_file_not_found" if feature in ("related", "tests") else "file_not_found"
+    out = placed.where("language IS NULL").select("root", "src", F.lit(missing).alias("kind"))
+    lone = {"related": "no_lang_provider", "tests": "no_lang_provider", "explain": "no_import_provider", "impact": "no_import_graph"}[feature]
+    out = out.unionByName(placed.where(F.col("language").isNotNull() & ~routed).select("root", "src", F.lit(lone).alias("kind")))
+    if feature == "related":
+        total = related(graph, seeds).groupBy("root", "src").agg(F.sum("tokens").alias("total"))
+        out = out.unionByName(total.where(F.col("total") > budget).select("root", "src", F.lit("over_budget").alias("kind")))
+    if feature == "impact":
+        none = graph.files.select("root").distinct().join(seeds.select("root").distinct(), "root", "left_anti")
+        out = out.unionByName(none.select("root", F.lit(None).cast("string").alias("src"), F.lit("no_changed_files").alias("kind")))
+    return out
+
+
+# --- call records of answers ------------------------------------------------------------------------------------------
+def call_records(feature: str, seeds: DataFrame, limits: DataFrame, budget: int, at: str, answers: DataFrame | None = None) -> DataFrame:
+    """The call record of each answered request (one per root and seed), as the call log stores them.
+
+    seeds: root, src; limits: root, src, kind; answers (of context only): root, src, files_returned, candidates_total,
+    files_included, compression_ratio, budget_used, import_edges_scanned. A request whose only file is missing is an error.
+    """
+    kinds = limits.where("src IS NOT NULL").groupBy("root", "src").agg(F.sort_array(F.collect_set("kind")).alias("limitation_kinds"))
+    rows = seeds.select("root", "src").distinct().join(kinds, ["root", "src"], "left")
+    if answers is not None:
+        rows = rows.join(answers, ["root", "src"], "left")
+    empty = F.expr("CAST(array() AS array<string>)")
+    take = lambda c, t, zero: (F.coalesce(F.col(c), zero) if answers is not None else zero).cast(t).alias(c)
+    all_kinds = F.coalesce("limitation_kinds", empty)
+    return rows.select(
+        "root", F.lit(at).alias("ts"), F.lit(feature).alias("feature"), F.array("src").alias("seed_files"),
+        take("files_returned", "array<string>", empty), take("candidates_total", "int", F.lit(0)), take("files_included", "int", F.lit(0)),
+        take("compression_ratio", "double", F.lit(0.0)), F.lit(budget).alias("budget_requested"), take("budget_used", "int", F.lit(0)), F.lit(0).cast("bigint").alias("latency_ms"),
+        take("import_edges_scanned", "int", F.lit(0)), F.lit(False).alias("lsp_enhanced"), F.arrays_overlap(all_kinds, F.array(F.lit("file_not_found"), F.lit("seed_file_not_found"))).alias("has_error"),
+        F.size(all_kinds).alias("limitation_count"), all_kinds.alias("limitation_kinds"), F.lit("").alias("feedback"), F.lit("").alias("feedback_at"),
+    )
+
+
+def status(graph: g.Graph) -> DataFrame:
+    """root, files, languages, edges, units, limitations: what is known of every tree."""
+    files = graph.files.groupBy("root").agg(F.count("*").alias("files"), F.count_distinct(F.when(F.col("language") != "", F.col("language"))).alias("languages"))
+    edges = graph.edges.groupBy("root").agg(F.count("*").alias("edges"))
+    units = graph.groups[0].units.select("root").unionByName(graph.groups[1].units.select("root")).groupBy("root").agg(F.count("*").alias("units"))
+    limits = graph.limitations.groupBy("root").agg(F.count("*").alias("limitations"))
+    out = files.join(edges, "root", "left").join(units, "root", "left").join(limits, "root", "left")
+    return out.na.fill(0, ["edges", "units", "limitations"])
+
+
+def references(declared: DataFrame, uses: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(root, src, dst: importers of C# files by a given table of references; limitations where there is none).
+
+    declared: root, path, name of top-level types; uses: root, path, name, from a tool that resolves names. No guess is
+    made from project references: a tree without references has the limitation ``tool_not_available`` and no rows.
+    """
+    pairs = declared.select("root", F.col("path").alias("src"), "name").join(uses.select("root", F.col("path").alias("dst"), "name"), ["root", "name"]).where("src <> dst").select("root", "src", "dst").distinct()
+    own = files.where("language = 'C#'").select("root").distinct()
+    limits = own.join(uses.select("root").distinct(), "root", "left_anti").select("root", F.lit("tool_not_available").alias("kind"), F.lit("no references table for this tree").alias("message"), F.lit("csharp").alias("scope"))
+    return pairs, limits

@@ -91,7 +91,7 @@ def calls_totals(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.totals(table(spark, folder, "calls"))
 
 
-@query("""SELECT kind, CASE WHEN kind IN ('contextual_trimmed', 'critical_path_over_budget', 'over_budget') THEN 'advisory' ELSE 'quality' END AS class, count(*) AS n, min(seq * 1000 + pos - 1) AS first_at
+@query("""SELECT kind, CASE WHEN kind IN ('contextual_trimmed', 'critical_path_over_budget', 'over_budget') THEN 'advisory' ELSE 'quality' END AS class, count(*) AS n, min(seq) AS first_seq, CAST(min(struct_pack(s := seq, p := pos)).p - 1 AS INT) AS first_pos
 FROM (SELECT seq, unnest(limitation_kinds) AS kind, unnest(generate_series(1, len(limitation_kinds))) AS pos FROM calls) GROUP BY kind""")
 def calls_limitation_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.limitation_kinds(table(spark, folder, "calls"))
@@ -187,7 +187,7 @@ w AS (SELECT source, doc_id, tokens, k, true AS included, tokens AS used FROM t
 SELECT source, doc_id, tokens FROM w WHERE included""")
 def budget_first_fit_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").where("source IS NOT NULL").select("source", "doc_id", exprs.tokens(F.col("text")).alias("tokens"))
-    return fit.first_fit(docs, ["source"], [F.col("doc_id")], 3000, "tokens").where("included").drop("included")
+    return fit.first_fit(docs, ["source"], [F.col("doc_id")], 3000, "tokens")
 
 
 @query("""WITH t AS (SELECT source, doc_id, sum(greatest(1, octet_length(encode(text)) // 4)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM documents WHERE source IS NOT NULL)

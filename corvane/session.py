@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,20 +29,32 @@ def local_session(cores: int | str = 8, app: str = "corvane", partitions: int =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests) an own one."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local session without one (tests) gets its own.
+
+    A folder of one machine is no place for what executors write: without a named folder a cluster's session fails.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "corvane-checkpoints")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = os.path.join(tempfile.gettempdir(), f"corvane-checkpoints-{os.getpid()}")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
 
 class Stored:
-    """Intermediate tables written to the shared folder, so that lineage ends there and a lost executor costs no recomputation."""
+    """Intermediate tables written to the shared folder, so that lineage ends there and a lost executor costs no recomputation.
+
+    Results may still read them, so they stay until ``close``, or ``close_all`` at the end of a job.
+    """
+
+    made_here: list[Stored] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        Stored.made_here.append(self)
         self.base = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
         self.made = 0
 
@@ -55,3 +69,14 @@ class Stored:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def close(self) -> None:
+        """Remove all of its tables: nothing that reads them may run afterwards."""
+        self.drop(self.base)
+        if self in Stored.made_here:
+            Stored.made_here.remove(self)
+
+    @classmethod
+    def close_all(cls) -> None:
+        for stored in list(cls.made_here):
+            stored.close()

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from corvane.functions import exprs
 
 # Directories no walk enters.
-SKIPPED = (".git", ".hg", ".svn", "node_modules", "vendor", "dist", "build", "out", "target", "bin", "obj", ".idea", ".vscode", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".next", "coverage")
+SKIPPED = (".git", ".hg", ".svn", "node_modules", "vendor", ".claude", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", ".dist", "build", ".build", "target", ".idea", ".vscode", ".DS_Store")
+MOST_TOPS = 10_000  # directories the driver opens at most
+BATCH_BYTES = 32 << 20
 # Files that show a build or test system, at the root or anywhere.
 BUILD_ROOT = {"Go Modules": ("go.mod",), "npm": ("package.json",), "Cargo": ("Cargo.toml",), "Maven": ("pom.xml",), "Gradle": ("build.gradle", "build.gradle.kts"), "Make": ("Makefile", "makefile", "GNUmakefile"), "CMake": ("CMakeLists.txt",), "Bazel": ("BUILD", "WORKSPACE", "MODULE.bazel"), "Poetry": ("pyproject.toml",), "Pipenv": ("Pipfile",), "pip": ("requirements.txt", "setup.py", "setup.cfg"), "Bundler": ("Gemfile",), "Composer": ("composer.json",), "Mix": ("mix.exs",), "sbt": ("build.sbt",), "Docker": ("Dockerfile",), "Docker Compose": ("docker-compose.yml", "docker-compose.yaml"), "MSBuild": ("global.json", "Directory.Build.props", "Directory.Build.targets", "NuGet.Config")}
 BUILD_DEEP = {"Vite": ("vite.config.ts", "vite.config.js", "vite.config.mts", "vite.config.mjs"), "Next.js": ("next.config.js", "next.config.ts", "next.config.mjs"), "Webpack": ("webpack.config.js", "webpack.config.ts", "webpack.config.mjs"), "Rollup": ("rollup.config.js", "rollup.config.ts", "rollup.config.mjs"), "Turbo": ("turbo.json",), "Electron": ("electron-builder.yml", "electron-builder.json"), "Nx": ("nx.json",)}
@@ -20,9 +22,9 @@ TEST_ROOT = {"pytest": ("pytest.ini", "pyproject.toml", "setup.cfg"), "Jest": ("
 TEST_DEEP = {"Playwright": ("playwright.config.ts", "playwright.config.js", "playwright.config.mjs"), "Cypress": ("cypress.config.ts", "cypress.config.js"), "Vitest": ("vitest.config.ts", "vitest.config.js")}
 
 
-def not_skipped(path: Column) -> Column:
-    parts = F.split(path, "/")
-    return ~F.arrays_overlap(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(d) for d in SKIPPED])) | (F.size(parts) == 1)
+def not_skipped(path: Column, names: Iterable[str] = SKIPPED) -> Column:
+    """No directory above the file has one of the names."""
+    return exprs.outside(path, names)
 
 
 def ignore_patterns(root: str, name: str = ".gitignore") -> list[str]:
@@ -64,31 +66,65 @@ def ignored(path: Column, patterns: Iterable[str]) -> Column:
     return out
 
 
-def walk(base: str) -> Iterator[tuple[str, int]]:
-    """(relative path, size) of a local tree in walk order, without entering skipped directories; unreadable ones are left out."""
-    for folder, inside, names in os.walk(base):
-        inside[:] = sorted(d for d in inside if d not in SKIPPED)
-        for name in sorted(names):
-            path = os.path.join(folder, name)
+def tops(base: str, most: int = MOST_TOPS) -> list[tuple[str, bool]]:
+    """(relative path, whether all below it counts): directories that are opened level by level until there are ``most`` of them."""
+    out, level = [], [""]
+    while level and len(out) + len(level) < most:
+        below = []
+        for rel in level:
+            out.append((rel, False))  # its own files only
             try:
-                yield os.path.relpath(path, base).replace(os.sep, "/"), os.stat(path).st_size
+                below += [os.path.join(rel, e.name) for e in os.scandir(os.path.join(base, rel)) if e.is_dir(follow_symlinks=False) and e.name not in SKIPPED]
             except OSError:
                 continue
+        level = below
+    return out + [(rel, True) for rel in level]
+
+
+def below(base: str):
+    """Lists the files under directories, on the executors: skipped directories are not entered, unreadable files left out."""
+    schema = pa.schema([("rel_path", pa.string()), ("size", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for top, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for folder, inside, names in os.walk(os.path.join(base, top)):
+                    inside[:] = [d for d in inside if d not in SKIPPED] if deep else []
+                    rows = []
+                    for name in names:
+                        path = os.path.join(folder, name)
+                        try:
+                            rows.append((os.path.relpath(path, base).replace(os.sep, "/"), os.stat(path).st_size))
+                        except OSError:
+                            continue
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
 
 
 def read_bytes(base: str):
+    """Reads the files, a bounded number of bytes at a time."""
+    schema = pa.schema([("rel_path", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
+
+    def pack(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            rows = []
             for rel, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     with open(os.path.join(base, rel), "rb") as f:
                         rows.append((rel, size, f.read()))
                 except OSError:
                     continue
-            schema = pa.schema([("rel_path", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                held += len(rows[-1][2])
+                if held > BATCH_BYTES:
+                    yield pack(rows)
+                    rows, held = [], 0
+        if rows:
+            yield pack(rows)
 
     return run
 
@@ -96,9 +132,10 @@ def read_bytes(base: str):
 def scan(spark: SparkSession, root: str, patterns: Iterable[str] | None = None) -> DataFrame:
     """root, path, rel_path, size, language, role, tokens, content, text of a tree. Unreadable files are left out.
 
-    A tree on a mounted file system is listed once on the driver, which skips whole directories, and read by the
-    executors: a file source would hide names that begin with a dot or underscore, such as package files. Other stores
-    are read as binary files, with that limitation. Every byte is kept, so token counts are those of the files.
+    Of a tree on a mounted file system the driver opens only some top directories; executors list what is below them and
+    read it, without entering skipped directories: a file source would hide names that begin with a dot or underscore, such
+    as package files. Other stores are read as binary files, with that limitation. Every byte is kept, so token counts are
+    those of the files.
     """
     base = root.rstrip("/")
     patterns = ignore_patterns(base) if patterns is None else list(patterns)
@@ -106,7 +143,8 @@ def scan(spark: SparkSession, root: str, patterns: Iterable[str] | None = None)
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(base)
         named = raw.select(F.substring_index("path", base + "/", -1).alias("rel_path"), F.col("length").alias("size"), "content").where(not_skipped(F.col("rel_path")))
     else:
-        listed = spark.createDataFrame(list(walk(base)), "rel_path string, size bigint").where(~ignored(F.col("rel_path"), patterns))
+        starts = spark.createDataFrame(tops(base), "top string, deep boolean")
+        listed = starts.repartition(spark.sparkContext.defaultParallelism).mapInArrow(below(base), "rel_path string, size bigint").where(~ignored(F.col("rel_path"), patterns))
         named = listed.repartition(spark.sparkContext.defaultParallelism).mapInArrow(read_bytes(base), "rel_path string, size bigint, content binary")
     kept = named.where(~ignored(F.col("rel_path"), patterns))
     return classify(kept.select(F.lit(base).alias("root"), F.concat(F.lit(base + "/"), F.col("rel_path")).alias("path"), "rel_path", "size", "content"))
@@ -137,5 +175,11 @@ def test_systems(files: DataFrame) -> DataFrame:
     return systems(files, TEST_ROOT, TEST_DEEP, go_test=True)
 
 
+def file_runner(files: DataFrame) -> DataFrame:
+    """root, system: the first test system of a tree that runs single files."""
+    single = test_systems(files).where(F.col("name").isin("pytest", "Jest", "Vitest"))
+    return single.groupBy("root").agg(F.min(F.struct("phase", "name"))["name"].alias("system"))
+
+
 def languages(files: DataFrame, *keys: str) -> DataFrame:
     return files.where("language <> ''").groupBy(*keys, "language").agg(F.count("*").alias("files"))

@@ -17,19 +17,30 @@ CALLS = "ts STRING, feature STRING, seed_files ARRAY<STRING>, files_returned ARR
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
     """The records of a JSON-lines log with ``seq``, their order. Blank and malformed lines are dropped; a missing file is empty.
 
-    Missing keys are zero values. Lines of any length are read.
+    Missing keys are zero values. Lines of any length are read. The parts of a log follow one another by time of writing and
+    name, lines of a part by their place: its split's first byte and the line's number in that split, neither of which depends
+    on how Spark packs splits into tasks. Only the list of parts and splits is grouped for that.
     """
     if "://" not in path and not os.path.exists(path):
-        lines = spark.createDataFrame([], "value string")
+        lines = spark.createDataFrame([], "value string, seq bigint")
     else:
-        lines = spark.read.text(path)
-    # files are read in order of their splits, so this id rises with the place in the log
-    parsed = lines.withColumn("seq", F.monotonically_increasing_id()).where("trim(value) <> ''").withColumn("r", F.from_json("value", CALLS + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"})).where("r._bad IS NULL")
+        lines = placed(spark.read.text(path))
+    parsed = lines.where("trim(value) <> ''").withColumn("r", F.from_json("value", CALLS + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"})).where("r._bad IS NULL")
     flat = parsed.select("seq", "r.*").drop("_bad")
     zero = {"string": F.lit(""), "int": F.lit(0), "bigint": F.lit(0), "double": F.lit(0.0), "boolean": F.lit(False), "array<string>": F.expr("CAST(array() AS array<string>)")}
     return flat.select("seq", *[F.coalesce(c, zero[t].cast(t)).alias(c) for c, t in flat.dtypes if c != "seq"])
 
 
+def placed(lines: DataFrame) -> DataFrame:
+    """value, seq: lines with a number that rises with their place in the files they come from."""
+    at = lines.select("value", F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = at.groupBy("part", "written", "block").agg(F.min("id").alias("first_id"))
+    parts = splits.select("part", "written").distinct().withColumn("ord", F.row_number().over(Window.orderBy("written", "part")) - 1)  # a row per part file
+    known = splits.join(parts.select("part", "ord"), "part").select("part", "block", "first_id", "ord")
+    # a line has a byte or more, so numbers of one split stay below the next one's first byte; parts are below 4 TB
+    return at.join(known, ["part", "block"]).select("value", (F.shiftleft(F.col("ord").cast("bigint"), 42) + F.col("block") + F.col("id") - F.col("first_id")).alias("seq"))
+
+
 def append_calls(records: DataFrame, path: str) -> None:
     """Append records; ts defaults to now in UTC."""
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -67,7 +78,7 @@ def read_session_blocks(spark: SparkSession, *paths: str) -> DataFrame:
 
     Only user and assistant entries; content is an array of blocks or one string.
     """
-    lines = spark.read.text(list(paths)).select(F.input_file_name().alias("from_file"), F.monotonically_increasing_id().alias("at"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("from_file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
     get = lambda path, kind: F.try_variant_get("v", path, kind)
     entries = lines.select("from_file", "at", get("$.sessionId", "string").alias("session_id"), get("$.type", "string").alias("entry_type"), get("$.uuid", "string").alias("uuid"), get("$.timestamp", "string").alias("ts"), get("$.message.role", "string").alias("role"), get("$.message.content", "array<variant>").alias("blocks"), get("$.message.content", "string").alias("plain")).where(F.col("entry_type").isin("user", "assistant"))
     ordered = entries.withColumn("entry_idx", F.row_number().over(Window.partitionBy("from_file").orderBy("at")) - 1)

@@ -70,13 +70,13 @@ def test_questions(spark, graph):
     related = {(r["rel_path"], r["relation"], r["confidence"]) for r in questions.related(graph, seeds(spark, "a/m.py")).collect()}
     assert related == {("a/__init__.py", "imports", 0.92), ("a/b/__init__.py", "imports", 0.92), ("a/b/c.py", "imports", 0.92), ("p.py", "imports", 0.92), ("test_m.py", "importers", 0.88)}
     tests = {(r["rel_path"], r["run_command"], r["confidence"]) for r in questions.tests_of(graph, seeds(spark, "a/m.py", "lib/lib.go")).collect()}
-    assert tests == {("test_m.py", "pytest", 0.97), ("lib/lib_test.go", "go test ./lib/...", 0.95)}
+    assert tests == {("test_m.py", "", 0.97), ("lib/lib_test.go", "go test ./lib/...", 0.95)}
     impact = {(r["kind"], r["rel_path"]) for r in questions.impact(graph, seeds(spark, "a/m.py", "not/there.py")).collect()}
     assert impact == {("changed", "a/m.py"), ("changed", "not/there.py"), ("impacted", "test_m.py"), ("impacted", "a/b/c.py"), ("test", "test_m.py")}
     explained = {(r["section"], r["value"]) for r in questions.explain(graph, seeds(spark, "App/Main.cs", "p.py")).collect()}
     assert {("symbol", "P.go"), ("symbol", "f"), ("package", "Json"), ("dependent", "a/m.py"), ("symbol", "Main")} <= explained
     plan = {(r["command"], r["required"]) for r in questions.verify_plan(graph.files, seeds(spark, "lib/lib.go")).collect()}
-    assert plan == {("go build ./...", True), ("go vet ./...", False), ("go test ./lib/...", True)}
+    assert plan == {("go build ./...", True), ("go vet ./...", True), ("go test ./lib/... -race", True), ("dotnet build", True)}
     shown = {(r["section"], r["value"]) for r in questions.overview(graph.files, ["*.log"]).collect()}
     assert {("build_system", "Go Modules"), ("test_system", "Go test"), ("notable_dir", "lib"), ("ignored", "*.log")} <= shown
 
