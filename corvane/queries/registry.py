@@ -18,6 +18,8 @@ from corvane.operators import graph as g
 from corvane.operators import sessions
 from corvane.plans import context as capsule
 from corvane.plans import evaluation, questions
+from corvane.queries import shop
+from corvane.session import Stored
 from corvane.sources import files as tree
 from corvane.sources import logs
 
@@ -52,9 +54,8 @@ def graph_of(spark: SparkSession, folder: str) -> g.Graph:
     return g.build(tree_of(spark, folder))
 
 
-def seeds_of(graph: g.Graph) -> DataFrame:
-    """One request per tree: the source file that is first in path order."""
-    return graph.files.where("role = 'source'").groupBy("root").agg(F.min("rel_path").alias("src"))
+def shop_graph(spark: SparkSession, folder: str) -> g.Graph:
+    return g.build(shop.files(spark, folder))
 
 
 # --- SQL parts ---------------------------------------------------------------------------------------------------------
@@ -74,10 +75,6 @@ ROLES = f"""CASE WHEN contains(lower(rel_path), 'generated') OR contains(lower(r
   WHEN {LANGUAGES} <> '' THEN 'source' ELSE 'other' END"""
 TREE = f"tree AS (SELECT file_id, repo || '@' || snapshot AS root, rel_path, {LANGUAGES} AS language, {ROLES} AS role, greatest(1, octet_length(content) // 4) AS tokens, TRY(decode(content)) AS text FROM files)"
 DIR = "CASE WHEN contains({0}, '/') THEN regexp_replace({0}, '/[^/]*$', '') ELSE '.' END"
-PY_EDGES = """py_lines AS (SELECT root, rel_path AS src, trim(unnest(regexp_split_to_array(text, '\\r?\\n'))) AS line FROM tree WHERE language = 'Python' AND octet_length(encode(text)) <= 524288),
-py_mods AS (SELECT DISTINCT root, src, coalesce(nullif(regexp_extract(line, '^import\\s+([A-Za-z_][\\w.]*)', 1), ''), nullif(regexp_extract(line, '^from\\s+([A-Za-z_][\\w.]*)\\s+import\\b', 1), '')) AS module FROM py_lines),
-py_cand AS (SELECT DISTINCT root, src, array_to_string(string_split(module, '.')[:i], '/') AS spec FROM py_mods, unnest(generate_series(1, len(string_split(module, '.')))) AS u(i) WHERE module IS NOT NULL),
-py_edges AS (SELECT DISTINCT c.root, c.src, coalesce(a.rel_path, b.rel_path) AS dst FROM py_cand c LEFT JOIN tree a ON a.root = c.root AND a.rel_path = c.spec || '.py' LEFT JOIN tree b ON b.root = c.root AND b.rel_path = c.spec || '/__init__.py' WHERE coalesce(a.rel_path, b.rel_path) IS NOT NULL AND coalesce(a.rel_path, b.rel_path) <> c.src)"""
 
 
 # --- calls (call metrics) ----------------------------------------------------------------------------------------------
@@ -204,9 +201,9 @@ def documents_token_sums(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- graph -------------------------------------------------------------------------------------------------------------
-@query(f"WITH {TREE}, {PY_EDGES} SELECT root, src, dst FROM py_edges")
+@query(f"WITH {shop.GRAPH} SELECT root, src, dst FROM py WHERE dst IS NOT NULL")
 def imports_python(spark: SparkSession, folder: str) -> DataFrame:
-    return py.extract(tree_of(spark, folder))[0].select("root", "src", "dst")
+    return py.extract(shop.files(spark, folder))[0].select("root", "src", "dst")
 
 
 @query(f"""WITH {TREE} SELECT DISTINCT root, src, spec FROM (SELECT root, rel_path AS src, unnest(regexp_extract_all(text, '(?m)^\\s*import\\s+(?:type\\s+)?(?:[\\w$*{{][^''"`;]*?\\s+from\\s+)?[''"]([^''"\\n]+)[''"]', 1)) AS spec FROM tree
@@ -228,13 +225,11 @@ def units_go(spark: SparkSession, folder: str) -> DataFrame:
     return units.go_units(tree_of(spark, folder)).unit_files.groupBy("root", "unit_id").agg(F.count("*").alias("files"), F.count_if("test").alias("tests"))
 
 
-@query(f"""WITH {TREE}, d AS (SELECT root, rel_path, {DIR.format("rel_path")} AS dir, ends_with(rel_path, '_test.go') AS test FROM tree WHERE language = 'Go')
-SELECT a.root, a.rel_path AS src, b.rel_path AS dst, CASE WHEN b.test THEN 'tests' ELSE 'peers' END AS relation FROM (SELECT root, min(rel_path) AS rel_path, arg_min(dir, rel_path) AS dir FROM d GROUP BY root) a JOIN d b ON a.root = b.root AND a.dir = b.dir AND a.rel_path <> b.rel_path""")
+@query(f"WITH {shop.GRAPH} SELECT root, src, dst, relation FROM rel WHERE relation IN ('peers', 'tests') AND ends_with(src, '.go')")
 def peers_and_tests_go(spark: SparkSession, folder: str) -> DataFrame:
-    """Of the first Go file of each tree."""
-    files = tree_of(spark, folder)
-    group = units.go_units(files)
-    return g.unit_relations(group, files.where("language = 'Go'").groupBy("root").agg(F.min("rel_path").alias("src"))).where("relation IN ('peers', 'tests')").select("root", "src", "dst", "relation")
+    """Of the first file of each package; members_go has all of them in linear form."""
+    files = shop.files(spark, folder)
+    return g.unit_relations(units.go_units(files), shop.seeds(files).where(F.endswith("src", F.lit(".go")))).where("relation IN ('peers', 'tests')").select("root", "src", "dst", "relation")
 
 
 @query(f"""WITH {TREE} SELECT t.root, regexp_extract(t.root, '^([^@]*)', 1) || CASE WHEN d = '.' THEN '' ELSE '/' || d END AS unit_id, rel_path AS path, ends_with(rel_path, '_test.go') AS test
@@ -244,64 +239,122 @@ def members_go(spark: SparkSession, folder: str) -> DataFrame:
     return units.go_units(tree_of(spark, folder)).unit_files.select("root", "unit_id", "path", "test")
 
 
-@query()
+@query(f"WITH {shop.GRAPH} SELECT root, unit AS unit_id, path, test FROM csmem")
 def members_csharp(spark: SparkSession, folder: str) -> DataFrame:
-    return units.csharp_units(tree_of(spark, folder)).unit_files.select("root", "unit_id", "path", "test")
+    return units.csharp_units(shop.files(spark, folder)).unit_files.select("root", "unit_id", "path", "test")
 
 
-@query()
+@query(f"WITH {shop.GRAPH} SELECT root, u AS src_unit, v AS dst_unit, kind FROM ue")
 def unit_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Imports between all packages and projects; importers are the same rows read backwards."""
-    files = tree_of(spark, folder)
+    files = shop.files(spark, folder)
     groups = (("go", units.go_units(files)), ("csproj", units.csharp_units(files)))
     parts = [group.unit_edges.select("root", "src_unit", "dst_unit", F.lit(kind).alias("kind")) for kind, group in groups]
     return parts[0].unionByName(parts[1])
 
 
-@query()
+@query(f"WITH {shop.GRAPH} SELECT root, 'Net/N' || n || '/N' || n || '.csproj' AS unit_id, 'Pack' AS name, '1.' || n AS version FROM (SELECT 'r' || r AS root, n FROM nat)")
+def packages_csharp(spark: SparkSession, folder: str) -> DataFrame:
+    return units.csharp_units(shop.files(spark, folder)).packages.select("root", "unit_id", "name", "version")
+
+
+@query("SELECT 'r' || n_regionkey AS root, '@all/*' AS prefix, 'web/' AS target, 0 AS rank FROM nation GROUP BY n_regionkey")
+def tsconfig_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    return js.config_aliases(shop.files(spark, folder))
+
+
+@query(f"WITH {shop.GRAPH} SELECT root, src, dst, 'imports' AS relation, source_tool, 'heuristic' AS authority FROM fe")
 def file_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Imports between all files of languages whose edges are files'."""
-    return graph_of(spark, folder).edges
+    return shop_graph(spark, folder).edges
 
 
-@query()
+@query(f"WITH {shop.GRAPH} SELECT root, 'imports' AS relation, source_tool, 'heuristic' AS authority, count(*) AS edges FROM fe GROUP BY ALL")
 def graph_edges(spark: SparkSession, folder: str) -> DataFrame:
-    graph = graph_of(spark, folder)
+    graph = shop_graph(spark, folder)
     return graph.edges.groupBy("root", "relation", "source_tool", "authority").agg(F.count("*").alias("edges"))
 
 
-@query()
+@query(f"""WITH {TREE}, roots AS (SELECT DISTINCT root FROM tree), has AS (SELECT root, bool_or(language = 'Go') AS go, bool_or(language = 'Python') AS py, bool_or(regexp_matches(lower(rel_path), '\\.(ts|tsx|js|jsx|mts|cts|mjs|cjs)$') AND NOT regexp_matches(rel_path, '(^|/)(node_modules|\\.git|\\.claude|dist|build|out|\\.next|\\.nuxt|\\.svelte-kit|coverage|\\.turbo|\\.cache)/')) AS js, bool_or(ends_with(rel_path, '.cs')) AS cs FROM tree GROUP BY root)
+SELECT root, 'go_static_parse' AS kind, 'go' AS scope FROM has WHERE go UNION ALL SELECT root, 'no_python_files', 'python' FROM has WHERE NOT py UNION ALL SELECT root, 'no_js_ts_files', 'script' FROM has WHERE NOT js
+UNION ALL SELECT root, 'no_csproj_files', 'csharp' FROM has WHERE cs UNION ALL SELECT root, 'file_too_large', rel_path FROM tree WHERE language = 'Python' AND octet_length(encode(text)) > 524288""")
 def graph_limitations(spark: SparkSession, folder: str) -> DataFrame:
-    return graph_of(spark, folder).limitations
+    """Of the snapshots in the files table, none of which has a project file."""
+    return graph_of(spark, folder).limitations.select("root", "kind", "scope")
+
 
+@query(f"""WITH {shop.GRAPH} SELECT f.root, count(*) AS files, count(DISTINCT language) FILTER (language <> '') AS languages, (SELECT count(*) FROM fe WHERE fe.root = f.root) AS edges, (SELECT count(DISTINCT unit) FROM gomem g WHERE g.root = f.root) + (SELECT count(*) FROM nat WHERE 'r' || r = f.root) AS units, 1::BIGINT AS limitations FROM f GROUP BY f.root""")
+def graph_status(spark: SparkSession, folder: str) -> DataFrame:
+    return questions.status(shop_graph(spark, folder))
 
-@query()
+
+@query(f"WITH {shop.GRAPH} SELECT root, src, rel_path, relation, {shop.RELATED} AS confidence, tokens::BIGINT AS tokens, 'heuristic' AS authority FROM related")
 def related_files(spark: SparkSession, folder: str) -> DataFrame:
-    graph = graph_of(spark, folder)
-    return questions.related(graph, seeds_of(graph))
+    graph = shop_graph(spark, folder)
+    return questions.related(graph, shop.seeds(graph.files))
+
 
+@query(f"WITH {shop.GRAPH} SELECT root, src, 'over_budget' AS kind FROM related GROUP BY root, src HAVING sum(tokens) > 150")
+def related_limits(spark: SparkSession, folder: str) -> DataFrame:
+    graph = shop_graph(spark, folder)
+    return questions.limits_of(graph, shop.seeds(graph.files), "related", 150)
 
-@query()
+
+@query(f"""WITH {shop.GRAPH}, asked AS (SELECT root, min(rel_path) AS src FROM f GROUP BY root, dir)
+SELECT root, src, 'no_import_graph' AS kind FROM asked JOIN f ON f.root = asked.root AND f.rel_path = asked.src WHERE f.language NOT IN ('Go', 'Python', 'TypeScript', 'C#')""".replace("SELECT root, src, 'no_import", "SELECT asked.root, src, 'no_import"))
+def impact_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the first file of any kind in each directory."""
+    graph = shop_graph(spark, folder)
+    asked = graph.files.groupBy("root", exprs.directory(F.col("rel_path")).alias("dir")).agg(F.min("rel_path").alias("src")).select("root", "src")
+    return questions.limits_of(graph, asked, "impact")
+
+
+@query(f"""WITH {shop.GRAPH}, t AS (SELECT root, src, sum(tokens) AS total FROM related GROUP BY root, src)
+SELECT s.root, 'related' AS feature, s.src AS seed, 150 AS budget_requested, false AS has_error, CASE WHEN total > 150 THEN 1 ELSE 0 END AS limitation_count, CASE WHEN total > 150 THEN 'over_budget' ELSE '' END AS kinds FROM seeds s LEFT JOIN t ON t.root = s.root AND t.src = s.src""")
+def call_records_related(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers as rows of the call log: what the metrics read."""
+    graph = shop_graph(spark, folder)
+    asked = shop.seeds(graph.files)
+    records = questions.call_records("related", asked, questions.limits_of(graph, asked, "related", 150), 150, "2024-07-01T00:00:00Z")
+    return records.select("root", "feature", F.col("seed_files")[0].alias("seed"), "budget_requested", "has_error", "limitation_count", F.array_join("limitation_kinds", ",").alias("kinds"))
+
+
+@query(f"WITH {shop.GRAPH} SELECT root, src, rel_path, {shop.RUN} AS run_command, confidence FROM tested")
 def tests_of_files(spark: SparkSession, folder: str) -> DataFrame:
-    graph = graph_of(spark, folder)
-    return questions.tests_of(graph, seeds_of(graph))
+    graph = shop_graph(spark, folder)
+    return questions.tests_of(graph, shop.seeds(graph.files))
 
 
-@query()
+@query(f"""WITH {shop.GRAPH} SELECT root, 'changed' AS kind, src AS rel_path, NULL AS via, 1.0::DOUBLE AS confidence FROM seeds
+UNION ALL SELECT root, 'impacted', dst, min(src), 0.88::DOUBLE FROM rel WHERE relation = 'importers' AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.root = rel.root AND s.src = rel.dst) GROUP BY root, dst
+UNION ALL SELECT root, 'test', rel_path, min(src), max(confidence) FROM tested GROUP BY root, rel_path""")
 def impact_of_files(spark: SparkSession, folder: str) -> DataFrame:
-    graph = graph_of(spark, folder)
-    return questions.impact(graph, seeds_of(graph))
+    graph = shop_graph(spark, folder)
+    return questions.impact(graph, shop.seeds(graph.files))
+
 
+@query(f"""WITH RECURSIVE {shop.GRAPH}, first AS (SELECT root, min(src) AS src FROM seeds WHERE ends_with(src, '.py') GROUP BY root),
+w AS (SELECT root, src AS seed, src AS node, 0 AS steps FROM first UNION SELECT w.root, w.seed, fe.src, w.steps + 1 FROM w JOIN fe ON fe.root = w.root AND fe.dst = w.node WHERE w.steps < 60)
+SELECT root, seed, node, min(steps)::INT AS steps FROM w GROUP BY ALL""")
+def transitive_impact(spark: SparkSession, folder: str) -> DataFrame:
+    """Of one Python file of each tree: everything that depends on it."""
+    graph = shop_graph(spark, folder)
+    first = shop.seeds(graph.files).where(F.endswith("src", F.lit(".py"))).groupBy("root").agg(F.min("src").alias("src"))
+    return questions.transitive_impact(graph, first, 60)
 
-@query()
+
+@query(f"""WITH {shop.GRAPH} SELECT s.root, s.src, 'file' AS section, f.role AS value, f.language AS detail, f.tokens::INT AS ord FROM seeds s JOIN f ON f.root = s.root AND f.rel_path = s.src
+UNION ALL SELECT s.root, s.src, 'symbol', CASE f.kind WHEN 'go' THEN 'S' WHEN 'cs' THEN 'C' ELSE 'f' END || regexp_extract(s.src, '(\d+)\.[a-z]+$', 1), CASE WHEN f.kind = 'py' THEN 'function' ELSE 'declaration' END, 0 FROM seeds s JOIN f ON f.root = s.root AND f.rel_path = s.src
+UNION ALL SELECT root, src, CASE relation WHEN 'imports' THEN 'import' WHEN 'importers' THEN 'dependent' WHEN 'tests' THEN 'test' ELSE 'peer' END, dst, 'heuristic', (row_number() OVER (PARTITION BY root, src, relation ORDER BY dst) - 1)::INT FROM rel
+UNION ALL SELECT s.root, s.src, 'package', 'Pack', '1.' || regexp_extract(m.unit, 'N(\d+)', 1), 0 FROM seeds s JOIN csmem m ON m.root = s.root AND m.path = s.src""")
 def explain_files(spark: SparkSession, folder: str) -> DataFrame:
-    graph = graph_of(spark, folder)
-    return questions.explain(graph, seeds_of(graph))
+    graph = shop_graph(spark, folder)
+    return questions.explain(graph, shop.seeds(graph.files))
 
 
-@query()
+@query(f"""WITH {shop.FILES} SELECT root, rel_path AS path, CASE kind WHEN 'go' THEN 'S' WHEN 'cs' THEN 'C' WHEN 'gotest' THEN 'TestC' ELSE 'f' END || regexp_extract(rel_path, '(\d+)[._a-z]+$', 1) AS name, CASE WHEN kind = 'py' THEN 'function' ELSE 'declaration' END AS kind, 0 AS ord FROM f WHERE language IN ('Go', 'Python', 'TypeScript', 'C#')""")
 def symbols_of_files(spark: SparkSession, folder: str) -> DataFrame:
-    return questions.symbols(tree_of(spark, folder))[0]
+    return questions.symbols(shop.files(spark, folder))[0]
 
 
 @query(f"""WITH {TREE} SELECT root, rel_path AS path, unnest(regexp_extract_all(text, '(?m)\\b(?:class|interface|enum|struct|record)\\s+(\\w+)', 1)) AS name FROM tree WHERE language = 'C#' AND text IS NOT NULL""")
@@ -310,24 +363,28 @@ def symbols_csharp(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def capsules(spark: SparkSession, folder: str) -> capsule.Capsule:
-    """One request per tree: the directory of its first source file, 2000 tokens."""
-    graph = graph_of(spark, folder)
-    seeds = seeds_of(graph)
-    requests = seeds.select("root", F.col("root").alias("request"), exprs.directory(F.col("src")).alias("name"), F.lit(2000).alias("budget"))
+    """One request per directory: its first source file, under a budget that leaves files out."""
+    graph = shop_graph(spark, folder)
+    requests = shop.seeds(graph.files).select("root", F.concat("root", F.lit(":"), "src").alias("request"), F.col("src").alias("name"), F.lit(shop.BUDGET).alias("budget"))
     return capsule.context(graph, requests)
 
 
-@query()
+@query(f"""WITH RECURSIVE {shop.CAPSULE} SELECT request, (row_number() OVER (PARTITION BY request ORDER BY score DESC, path))::INT AS rank, path AS rel_path, language, role, score, tier, tokens::BIGINT AS tokens, 'full' AS content_mode FROM chosen WHERE included""")
 def context_capsules(spark: SparkSession, folder: str) -> DataFrame:
-    return capsules(spark, folder).rows.drop("content")
+    return capsules(spark, folder).rows.select("request", "rank", "rel_path", "language", "role", "score", "tier", "tokens", "content_mode")
 
 
-@query()
+@query(f"""WITH RECURSIVE {shop.CAPSULE} SELECT request, considered, included, contextual_out, critical_tokens, used, total, CASE WHEN total > 0 THEN trunc(used * 100.0 / total) / 100 ELSE 0 END::DOUBLE AS ratio, greatest(total - used, 0)::BIGINT AS avoided FROM counted""")
 def context_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    return capsules(spark, folder).summary
+    return capsules(spark, folder).summary.select("request", "considered", "included", "contextual_out", "critical_tokens", "used", "total", "ratio", "avoided")
+
 
+@query(f"""WITH RECURSIVE {shop.CAPSULE} SELECT request, 'critical_path_over_budget' AS kind FROM counted WHERE critical_tokens > budget UNION ALL SELECT request, 'contextual_trimmed' FROM counted WHERE contextual_out > 0""")
+def context_limitations(spark: SparkSession, folder: str) -> DataFrame:
+    return capsules(spark, folder).limitations
 
-@query()
+
+@query(f"WITH RECURSIVE {shop.CAPSULE} SELECT request, used <= budget AS passed FROM counted")
 def context_within_budget(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.within_budget(capsules(spark, folder).summary)
 
@@ -369,18 +426,56 @@ def failure_log_signals(spark: SparkSession, folder: str) -> DataFrame:
     return logs.failure_signals(docs).select("log_id", "kind", "value", "confidence", F.col("line_no").cast("bigint").alias("line_no"))
 
 
-@query()
+FAILURES = "WITH " + shop.GRAPH + """, logs AS (SELECT 'r' || r AS root, k AS log_id, 'n' || n || '/s' || k || '.go' AS path, (SELECT min(c.k) FROM cust c WHERE c.n = sup.n AND c.seg = 'BUILDING') AS test, n FROM sup)"""
+
+
+def shop_failures(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(the trees, a log per supplier: its file is named by base name only, with a failing test of its nation)."""
+    files = shop.files(spark, folder)
+    nations = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
+    tests = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").groupBy("c_nationkey").agg(F.min("c_custkey").alias("test"))
+    rows = table(spark, folder, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).join(tests, F.col("s_nationkey") == F.col("c_nationkey"), "left")
+    text = F.concat_ws("\n", F.concat(F.lit("build/s"), "s_suppkey", F.lit(".go:7: undefined")), F.when(F.col("test").isNotNull(), F.concat(F.lit("--- FAIL: TestC"), "test", F.lit("/part (0.1s)"))))
+    return files, rows.select(F.concat(F.lit("r"), "n_regionkey").alias("root"), F.col("s_suppkey").alias("log_id"), text.alias("text"))
+
+
+@query(FAILURES + """ SELECT root, log_id, path, 0.9::DOUBLE AS confidence FROM logs UNION ALL SELECT root, log_id, 'n' || n || '/c' || test || '_test.go', 0.95::DOUBLE FROM logs WHERE test IS NOT NULL""")
 def failure_suspects(spark: SparkSession, folder: str) -> DataFrame:
-    files = tree_of(spark, folder)
-    roots = files.groupBy(F.substring_index("root", "@", 1).alias("repo")).agg(F.min("root").alias("root"))
-    docs = table(spark, folder, "documents").where("source = 'failure_log'").join(roots, "repo").select("root", F.col("doc_id").alias("log_id"), "text")
-    return questions.failure_context(files, docs)[1]
+    return questions.failure_context(*shop_failures(spark, folder))[1]
+
+
+@query(FAILURES + " SELECT root, 'basename_match_only' AS kind, 'build/s' || log_id || '.go' AS scope FROM logs")
+def failure_limits(spark: SparkSession, folder: str) -> DataFrame:
+    return questions.failure_context(*shop_failures(spark, folder))[2]
 
 
-@query()
+@query(FAILURES + " SELECT root, log_id, 'go build ./...' AS command FROM logs UNION ALL SELECT root, log_id, 'go test ./... -v' FROM logs WHERE test IS NOT NULL")
+def failure_commands(spark: SparkSession, folder: str) -> DataFrame:
+    return questions.suspected_commands(questions.failure_context(*shop_failures(spark, folder))[1])
+
+
+@query(FAILURES + """, l AS (SELECT root, log_id, unnest(['n' || n || '/s' || log_id || '.go', 'n' || n || '/c' || test || '_test.go']) AS src FROM logs), l2 AS (SELECT * FROM l WHERE src IS NOT NULL),
+d AS (SELECT DISTINCT l2.root, log_id, a.unit FROM l2 JOIN gomem a ON a.root = l2.root AND a.path = l2.src),
+c AS (SELECT root, log_id, src AS path FROM l2 UNION SELECT d.root, log_id, m.path FROM d JOIN gomem m ON m.root = d.root AND m.unit = d.unit UNION SELECT d.root, log_id, m.path FROM d JOIN goue ON goue.root = d.root AND (goue.u = d.unit) JOIN gomem m ON m.root = d.root AND m.unit = goue.v AND NOT m.test UNION SELECT d.root, log_id, m.path FROM d JOIN goue ON goue.root = d.root AND (goue.v = d.unit) JOIN gomem m ON m.root = d.root AND m.unit = goue.u AND NOT m.test)
+SELECT log_id::VARCHAR AS request, count(*) AS considered FROM c GROUP BY log_id""")
+def failure_capsules(spark: SparkSession, folder: str) -> DataFrame:
+    """The capsules over the suspected files of every log."""
+    files, failures = shop_failures(spark, folder)
+    suspects, _ = Stored(spark).table(questions.failure_context(files, failures)[1])
+    return capsule.context(g.build(files), questions.failure_requests(suspects)).summary.select("request", "considered")
+
+
+@query(f"""WITH {shop.GRAPH}, roots AS (SELECT DISTINCT root FROM f), plan AS (SELECT root, 'go build ./...' AS command, 'build' AS kind, '' AS cost, 0 AS ord FROM roots UNION ALL SELECT root, 'go vet ./...', 'vet', 'fast', 1 FROM roots UNION ALL SELECT DISTINCT root, 'go test ./' || regexp_replace(src, '/[^/]*$', '') || '/... -race', 'test', 'medium', 2 FROM seeds UNION ALL SELECT root, 'dotnet build', 'build', '', 6 FROM roots)
+SELECT root, command, kind, true AS required, cost, ord FROM plan""")
 def verify_commands(spark: SparkSession, folder: str) -> DataFrame:
-    graph = graph_of(spark, folder)
-    return questions.verify_plan(graph.files, seeds_of(graph))
+    files = shop.files(spark, folder)
+    return questions.verify_plan(files, shop.seeds(files))
+
+
+@query(f"WITH {shop.GRAPH} SELECT root, 6 AS considered, count(*) + 3 AS selected, NULL AS limitation FROM seeds GROUP BY root")
+def verify_counts(spark: SparkSession, folder: str) -> DataFrame:
+    files = shop.files(spark, folder)
+    return questions.verify_summary(files, shop.seeds(files))
 
 
 # --- sessions ----------------------------------------------------------------------------------------------------------
@@ -431,9 +526,14 @@ def call_excerpts_events(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.excerpts(entries).select("session_id", "entry_idx", F.array_join(F.transform("excerpt", lambda x: x["preview"]), ",").alias("excerpt"))
 
 
-@query()
+SIGNALS, EDITED, RETRIES, EXCERPTS = (SQL[n].split(EVENT_CTE, 1)[1] for n in ("call_signals_events", "files_edited_events", "call_retries_events", "call_excerpts_events"))
+
+
+@query(f"""WITH {EVENT_CTE}{EDITED[: EDITED.rindex("SELECT session_id, entry_idx, array_to_string")]}, edited AS ({EDITED[EDITED.rindex("SELECT session_id, entry_idx, array_to_string") :]}), signals AS ({SIGNALS}){RETRIES[: RETRIES.rindex("SELECT session_id")]}, again AS ({RETRIES[RETRIES.rindex("SELECT session_id") :]}), around AS ({EXCERPTS})
+SELECT s.*, coalesce(files_edited, '') AS files_edited, retry_after, excerpt FROM signals s LEFT JOIN edited USING (session_id, entry_idx) LEFT JOIN again USING (session_id, entry_idx) LEFT JOIN around USING (session_id, entry_idx)""")
 def session_analysis_events(spark: SparkSession, folder: str) -> DataFrame:
-    return sessions.analysis_pack(event_blocks(spark, folder), "tool")
+    pack = sessions.analysis_pack(event_blocks(spark, folder), "tool")
+    return pack.select("session_id", "entry_idx", "edit_after", "turns_to_edit", "turns_to_call", F.array_join("files_edited", ",").alias("files_edited"), "retry_after", F.array_join(F.transform("excerpt", lambda x: x["preview"]), ",").alias("excerpt"))
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------------
