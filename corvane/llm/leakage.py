@@ -1,29 +1,36 @@
 """Held-out passages in a corpus, by a distributed positional inverted index.
 
-1. Index: each document is normalised to words once; postings (term, position) of the test vocabulary are stored by
-   document in the shared folder. Terms outside of it can only be mismatches, so nothing else is needed later.
-2. Rarity: document frequency of every vocabulary term, over all documents (one map-side combined count).
-3. Lookup: of every window of ``least`` item words, its rarest positions are looked up; all but the allowed edits of
-   them survive in a leaked passage. Their posting lists are joined by term and intersected after subtracting the offset in the item.
+1. Index: the corpus is cut into shards of ``SHARD`` documents; each shard stores, for every term (a 64-bit hash of a word),
+   the documents and positions where it stands, whatever will be searched for. One map over the texts, no shuffle: the index
+   is kept in the shared folder and serves any number of held-out sets (``build``, then ``leaks`` or ``phrases``).
+2. Rarity: document frequency of every held-out term, over all shards (one map-side combined count).
+3. Lookup: of every window of ``least`` item words, its rarest positions are looked up in every shard; all but the allowed
+   edits of them survive in a leaked passage. Their posting lists are intersected after subtracting the offset in the item.
    A passage of twice ``least`` words or more can be halved, and one half has no more edits for its length than the whole.
    So some passage is shorter, and its windows have at most ``most_edits`` edits: 4 for 24 words and one in ten.
 4. Match: around each agreeing offset the item and the document's positions are aligned; a pair is reported if at least
-   ``least`` consecutive item words are there with at most one in ``one_in`` changed, added or dropped.
+   ``least`` consecutive item words are there with at most one in ``one_in`` changed, added or dropped (a proximity match), and
+   marked ``exact`` if ``least`` of them stand there as they are (a phrase match).
 
 A sentence that ``STOCK_ITEMS`` or more items share word for word is a stock instruction and matches nothing.
 
 Cases: null and empty texts have no words; an item of fewer than ``least`` own words never matches; repeated documents are
 reported each; repeated item ids with one text count once; case, punctuation, spacing, line breaks and prefixes, markup,
-entities and escapes are no words. Words dropped at the ends of a passage count as edits like those within it. Very long texts are handled whole. Columns beside id and text are ignored.
+entities and escapes are no words. Words dropped at the ends of a passage count as edits like those within it. Very long texts
+are handled whole, in a shard of their own. Columns beside id and text are ignored. Two words with one hash would be taken for
+one: expected once in 10^19 pairs of words.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +43,9 @@ LEAST, ONE_IN = 24, 10
 SEEDS_PER_WINDOW = 10
 STOCK_ITEMS = 3
 WIDTH = 8  # of a cell of offsets; inside one passage the allowed edits move an offset by no more than half of it
-MOST_ITEM_BYTES = 256 << 20  # the held-out set is gathered on the driver; larger ones are to be given in parts
+MOST_ITEM_BYTES = 64 << 20  # the held-out set is gathered on the driver and sent to every task; larger ones are to be given in parts
+SHARD, SHARD_WORDS = 512, 400_000  # documents and words of a shard at most; a longer document is a shard of its own
+STOCK = -1  # in place of words of stock instructions
 
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.DOTALL)
 ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
@@ -81,22 +90,99 @@ def item_words(items: dict[int, str]) -> dict[int, list[str | None]]:
     return {i: [w if len(holders[p]) < STOCK_ITEMS else None for p in parts for w in p] for i, parts in sentences.items()}
 
 
-def index(documents: DataFrame, vocabulary: dict[str, int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, terms, positions: the postings of a document's words that are in the vocabulary."""
-    schema = pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))])
+@lru_cache(maxsize=500_000)
+def term(word: str) -> int:
+    """A word as a number; never ``STOCK``."""
+    value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return value if value != STOCK else 0
+
+
+INDEX = "docs array<bigint>, terms array<bigint>, starts array<int>, holders array<int>, positions array<int>"
+
+
+def build(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index: a row per shard with docs (ids), terms (ascending), starts (of their postings), holders (places in docs), positions."""
+    schema = pa.schema([("docs", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("holders", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))])
+
+    def shard(ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        lengths = [len(f) for f in found]
+        every = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+        holders = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        positions = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+        order = np.argsort(every, kind="stable")
+        terms, starts = np.unique(every[order], return_index=True)
+        columns = (ids, terms, starts, holders[order], positions[order])
+        return pa.RecordBatch.from_arrays([pa.array([c], type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, found, held = [], [], 0
         for batch in batches:
-            ids, terms, positions = [], [], []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hits = [(vocabulary[w], k) for k, w in enumerate(words(body.as_py())) if w in vocabulary]
-                if hits:
-                    ids.append(key)
-                    terms.append([t for t, _ in hits])
-                    positions.append([k for _, k in hits])
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, terms, positions), schema)], schema=schema)
+                own = np.array([term(w) for w in words(body.as_py())], dtype=np.int64)
+                if not len(own):
+                    continue
+                if ids and (held + len(own) > SHARD_WORDS or len(ids) >= SHARD):
+                    yield shard(ids, found)
+                    ids, found, held = [], [], 0
+                ids.append(key)
+                found.append(own)
+                held += len(own)
+        if ids:
+            yield shard(ids, found)
+
+    known = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull())
+    return known.select(F.col(doc_id).cast("bigint"), text).mapInArrow(run, INDEX)
+
+
+class Shard:
+    """A row of the index: posting lists by term, and documents read back in order where a match is to be decided."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        take = lambda name: batch.column(batch.schema.get_field_index(name))[row].values.to_numpy(zero_copy_only=False)
+        self.docs, self.terms, starts, self.holders, self.positions = (take(n) for n in ("docs", "terms", "starts", "holders", "positions"))
+        self.starts = np.append(starts, len(self.positions)).astype(np.int64)
+        self.sequence: np.ndarray | None = None
+
+    def places(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first posting, number of postings) of each term."""
+        if not len(self.terms):
+            return np.zeros(len(terms), dtype=np.int64), np.zeros(len(terms), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        there = self.terms[at] == terms
+        return self.starts[at], np.where(there, self.starts[at + 1] - self.starts[at], 0)
+
+    def postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the terms, the place of the posting) of all postings of the terms."""
+        first, size = self.places(terms)
+        which = np.repeat(np.arange(len(terms)), size)
+        return which, first[which] + np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+
+    def document(self, holder: int) -> np.ndarray:
+        """The terms of a document in order."""
+        if self.sequence is None:
+            term_of = np.repeat(self.terms, np.diff(self.starts))
+            order = np.lexsort((self.positions, self.holders))
+            self.sequence = term_of[order]
+            self.bounds = np.concatenate([[0], np.cumsum(np.bincount(self.holders, minlength=len(self.docs)))])
+        return self.sequence[self.bounds[holder] : self.bounds[holder + 1]]
+
+
+def frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
+    """In how many documents each term stands."""
+    schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
 
-    return documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).mapInArrow(run, "doc_id bigint, terms array<int>, positions array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(terms), dtype=np.int64)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = Shard(batch, row)
+                which, at = own.postings(terms)
+                held = np.unique(which * len(own.docs) + own.holders[at])
+                total += np.bincount(held // max(1, len(own.docs)), minlength=len(terms))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(terms[seen]), pa.array(total[seen])], schema=schema)
+
+    return dict(index.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect())  # at most a row per held-out term
 
 
 def lookup_rows(own: dict[int, list[int]], frequency: dict[int, int], least: int, one_in: int = ONE_IN) -> list[tuple[int, int, int]]:
@@ -106,7 +192,7 @@ def lookup_rows(own: dict[int, list[int]], frequency: dict[int, int], least: int
     for item, terms in own.items():
         for start in range(len(terms) - least + 1):
             window = terms[start : start + least]
-            there = [k for k in range(least) if window[k] >= 0]
+            there = [k for k in range(least) if window[k] != STOCK]
             if len(there) < least - most:
                 continue
             rare = sorted(there, key=lambda k: (frequency.get(window[k], 0), window[k], k))[:SEEDS_PER_WINDOW]
@@ -115,7 +201,7 @@ def lookup_rows(own: dict[int, list[int]], frequency: dict[int, int], least: int
 
 
 def passage(item: np.ndarray, doc: np.ndarray, least: int = LEAST, one_in: int = ONE_IN) -> bool:
-    """Whether ``least`` or more consecutive item words stand in doc with at most one in ``one_in`` edited. Ids < 0 match nothing.
+    """Whether ``least`` or more consecutive item words stand in doc with at most one in ``one_in`` edited. ``STOCK`` matches nothing.
 
     Exact: row by row and for each number of edits up to ``most_edits``, the most item words of an alignment that ends here.
     """
@@ -126,7 +212,7 @@ def passage(item: np.ndarray, doc: np.ndarray, least: int = LEAST, one_in: int =
         return False
     longest = np.zeros((most + 1, m + 1), dtype=np.int32)
     for word in item:
-        same = doc == word if word >= 0 else np.zeros(m, dtype=bool)
+        same = doc == word if word != STOCK else np.zeros(m, dtype=bool)
         row = np.zeros_like(longest)
         row[:, 1:] = np.where(same, longest[:, :-1] + 1, 0)
         # an item word changed or dropped
@@ -141,74 +227,114 @@ def passage(item: np.ndarray, doc: np.ndarray, least: int = LEAST, one_in: int =
     return False
 
 
-def found(documents: DataFrame, items: DataFrame, least: int = LEAST, one_in: int = ONE_IN) -> DataFrame:
-    """(doc_id, item_id): the document holds a passage of the item."""
-    spark = documents.sparkSession
-    none = spark.createDataFrame([], "doc_id bigint, item_id bigint")
+class Wanted(NamedTuple):
+    """A held-out set: the terms of every item, and the lookups (term, item's place, offset), ascending by term."""
+
+    ids: list[int]
+    items: list[np.ndarray]
+    terms: np.ndarray
+    owners: np.ndarray
+    offsets: np.ndarray
+
+
+def wanted(index: DataFrame, items: DataFrame, least: int, one_in: int) -> Wanted | None:
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > MOST_ITEM_BYTES:
         raise ValueError(f"the held-out set has {size} bytes; give it in parts of at most {MOST_ITEM_BYTES}")
-    own_words = item_words({r["item_id"]: r["text"] for r in items.select("item_id", "text").where("item_id is not null and text is not null").collect()})
-    vocabulary = {w: k for k, w in enumerate(sorted({w for ws in own_words.values() for w in ws if w}))}
-    own = {i: [vocabulary[w] if w else -1 for w in ws] for i, ws in own_words.items()}
-    if not any(len(t) >= least for t in own.values()):
-        return none
+    own = {i: [STOCK if w is None else term(w) for w in ws] for i, ws in item_words({r["item_id"]: r["text"] for r in items.select("item_id", "text").where("item_id is not null and text is not null").collect()}).items()}
+    own = {i: ts for i, ts in own.items() if len(ts) >= least}
+    if not own:
+        return None
+    vocabulary = np.array(sorted({t for ts in own.values() for t in ts} - {STOCK}), dtype=np.int64)
+    rows = lookup_rows(own, frequencies(index, vocabulary), least, one_in)
+    ids = sorted(own)
+    place = {i: k for k, i in enumerate(ids)}
+    columns = [np.array(c, dtype=np.int64) for c in zip(*[(t, place[i], o) for t, i, o in rows])] or [np.zeros(0, dtype=np.int64)] * 3
+    return Wanted(ids, [np.array(own[i], dtype=np.int64) for i in ids], *columns)
+
+
+def leaks(index: DataFrame, items: DataFrame, least: int = LEAST, one_in: int = ONE_IN) -> DataFrame:
+    """(doc_id, item_id, exact): the document holds a passage of the item."""
+    spark = index.sparkSession
     most = most_edits(least, one_in)
     if most > WIDTH // 2 or SEEDS_PER_WINDOW <= most:
         raise ValueError(f"{most} edits in a passage are more than cells of {WIDTH} offsets and {SEEDS_PER_WINDOW} lookups a window allow")
-    stored = Stored(spark)
-    postings, _ = stored.table(index(documents.where("text is not null and doc_id is not null"), vocabulary))
-    counted = postings.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
-    frequency = dict(counted.collect())  # at most a row per vocabulary term
-    lookups = spark.createDataFrame(lookup_rows(own, frequency, least, one_in), "term int, item_id bigint, offset int")
-    # only postings of looked-up terms leave the index; hot terms are not among the rarest
-    listed = postings.select("doc_id", F.explode(F.arrays_zip("terms", "positions")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.positions").alias("position"))
-    shifted = listed.join(lookups, "term").select("doc_id", "item_id", "offset", (F.col("position") - F.col("offset")).alias("diagonal"))
-    # two overlapping rasters: offsets within half a width of one another share a cell of one of them
-    cells = shifted.select("doc_id", "item_id", "offset", F.explode(F.array(F.floor(F.col("diagonal") / WIDTH) * 2, F.floor((F.col("diagonal") + WIDTH // 2) / WIDTH) * 2 + 1)).alias("cell"))
-    # offsets of one window differ by less than 64, so a bit each counts them
-    bits = F.bit_count(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(offset, 64) AS INT))")))
-    agreeing = cells.groupBy("doc_id", "item_id", "cell").agg(bits.alias("agree")).where(F.col("agree") >= SEEDS_PER_WINDOW - most)
-    candidates = agreeing.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "cell")).alias("cells"))
-    return candidates.join(postings, "doc_id").mapInArrow(verifier(own, least, one_in), "doc_id bigint, item_id bigint")
-
-
-def verifier(own: dict[int, list[int]], least: int, one_in: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
-    arrays = {i: np.array(t, dtype=np.int32) for i, t in own.items()}
+    held_out = wanted(index, items, least, one_in)
+    form = "doc_id bigint, item_id bigint, exact boolean"
+    if held_out is None:
+        return spark.createDataFrame([], form)
+    shared = spark.sparkContext.broadcast(held_out)  # bounded by MOST_ITEM_BYTES
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("exact", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
         for batch in batches:
-            rows = []
-            for key, cells, terms, positions in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "cells", "terms", "positions")]):
-                terms, positions = np.array(terms, dtype=np.int32), np.array(positions, dtype=np.int64)
-                spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for c in cells:
-                    item = arrays[c["item_id"]]
-                    start = c["cell"] // 2 * WIDTH - (WIDTH // 2 if c["cell"] % 2 else 0)
-                    if promising(item, terms, positions, start, least, one_in):
-                        slack = len(item) // one_in + WIDTH
-                        spans[c["item_id"]].append((start - slack, start + len(item) + slack))
-                for item_id, ranges in spans.items():
-                    if any(passage(arrays[item_id], part, least, one_in) for part in regions(sorted(ranges), terms, positions)):
-                        rows.append((key, item_id))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    return run
-
-
-def promising(item: np.ndarray, terms: np.ndarray, positions: np.ndarray, start: int, least: int, one_in: int) -> bool:
+            for row in range(batch.num_rows):
+                own = Shard(batch, row)
+                rows = []
+                for holder, item, ranges in candidates(own, asked, SEEDS_PER_WINDOW - most):
+                    doc, words_ = own.document(holder), asked.items[item]
+                    starts = [s for s in ranges if promising(words_, doc, s, least, one_in)]
+                    slack = len(words_) // one_in + WIDTH
+                    parts = list(regions(sorted((s - slack, s + len(words_) + slack) for s in starts), doc))
+                    if any(passage(words_, part, least, one_in) for part in parts):
+                        rows.append((own.docs[holder], asked.ids[item], any(phrase(words_, part, least) for part in parts)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return index.mapInArrow(run, form)
+
+
+def candidates(own: Shard, asked: Wanted, enough: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(document, item, first offsets of cells) where that many looked-up positions of the item agree on an offset."""
+    which, at = own.postings(asked.terms)
+    if not len(which):
+        return
+    diagonal = own.positions[at].astype(np.int64) - asked.offsets[which]
+    # two overlapping rasters: offsets within half a width of one another share a cell of one of them
+    cells = np.concatenate([diagonal // WIDTH * 2, (diagonal + WIDTH // 2) // WIDTH * 2 + 1])
+    pair = own.holders[at].astype(np.int64) * len(asked.ids) + asked.owners[which]
+    low = int(cells.min())
+    span = int(cells.max()) - low + 1
+    key = np.concatenate([pair, pair]) * span + (cells - low)
+    # offsets of one window differ by less than 64, so a bit each counts them
+    bits = np.left_shift(np.uint64(1), (asked.offsets[which] % 64).astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    key, bits = key[order], np.concatenate([bits, bits])[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    good = np.flatnonzero(np.bitwise_count(np.bitwise_or.reduceat(bits, first)) >= enough)
+    chosen = key[first[good]]
+    starts: dict[int, list[int]] = defaultdict(list)
+    for k in chosen.tolist():
+        cell = k % span + low
+        starts[k // span].append(cell // 2 * WIDTH - (WIDTH // 2 if cell % 2 else 0))
+    for k, offsets in starts.items():
+        yield k // len(asked.ids), k % len(asked.ids), offsets
+
+
+def promising(item: np.ndarray, doc: np.ndarray, start: int, least: int, one_in: int) -> bool:
     """Whether enough words of some window stand where the cell of offsets has them: a bound that no passage falls below."""
-    a, b = np.searchsorted(positions, [start - 4, start + len(item) + WIDTH + 4])
-    diagonal = positions[a:b][None, :] - np.arange(len(item))[:, None]
-    there = ((terms[a:b][None, :] == item[:, None]) & (diagonal >= start - 4) & (diagonal < start + WIDTH + 4)).any(axis=1)
+    there = np.zeros(len(item), dtype=bool)
+    for diagonal in range(start - WIDTH // 2, start + WIDTH + WIDTH // 2):
+        a, b = max(0, -diagonal), min(len(item), len(doc) - diagonal)
+        if b > a:
+            there[a:b] |= (item[a:b] == doc[a + diagonal : b + diagonal]) & (item[a:b] != STOCK)
     sums = np.concatenate([[0], np.cumsum(there)])
     return bool((sums[least:] - sums[:-least]).max(initial=0) >= least - most_edits(least, one_in))
 
 
-def regions(ranges: list[tuple[int, int]], terms: np.ndarray, positions: np.ndarray) -> Iterator[np.ndarray]:
-    """The document's ids in the merged ranges of positions; -1 where a word is not in the vocabulary."""
+def phrase(item: np.ndarray, doc: np.ndarray, least: int) -> bool:
+    """Whether ``least`` consecutive item words stand in doc as they are."""
+    run = np.zeros(len(doc) + 1, dtype=np.int32)
+    for word in item:
+        run[1:] = np.where((doc == word) & (word != STOCK), run[:-1] + 1, 0)
+        if run.max() >= least:
+            return True
+    return False
+
+
+def regions(ranges: list[tuple[int, int]], doc: np.ndarray) -> Iterator[np.ndarray]:
+    """The document's terms in the merged ranges of positions."""
     merged: list[list[int]] = []
     for low, high in ranges:
         if merged and low <= merged[-1][1]:
@@ -216,9 +342,46 @@ def regions(ranges: list[tuple[int, int]], terms: np.ndarray, positions: np.ndar
         else:
             merged.append([low, high])
     for low, high in merged:
-        a, b = np.searchsorted(positions, [low, high])
-        if b > a:
-            first = positions[a]
-            doc = np.full(int(positions[b - 1] - first) + 1, -1, dtype=np.int32)
-            doc[positions[a:b] - first] = terms[a:b]
-            yield doc
+        if high > 0 and low < len(doc):
+            yield doc[max(0, low) : high]
+
+
+def phrases(index: DataFrame, texts: list[str], within: int = 0) -> DataFrame:
+    """(phrase, doc_id, position): where all words of a text stand in order, with up to ``within`` other words between two of them.
+
+    Exact phrases with ``within = 0``, proximity matches else; ``position`` is that of the first word. Posting lists are
+    intersected from word to word, in every shard.
+    """
+    asked = [(k, np.array([term(w) for w in words(t)], dtype=np.int64)) for k, t in enumerate(texts)]
+    schema = pa.schema([("phrase", pa.int32()), ("doc_id", pa.int64()), ("position", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = Shard(batch, row)
+                for k, terms in asked:
+                    if not len(terms):
+                        continue
+                    span = int(own.positions.max(initial=0)) + within + 3
+                    lists = []
+                    for t in terms:
+                        _, at = own.postings(np.array([t]))
+                        lists.append(own.holders[at].astype(np.int64) * span + own.positions[at])
+                    # (start, place of the last word so far): every follower within reach goes on
+                    starts = here = lists[0]
+                    for follower in lists[1:]:
+                        order = np.sort(follower)
+                        kept = [(starts[ok], here[ok] + d) for d in range(1, within + 2) for ok in [np.isin(here + d, order)]]
+                        both = np.unique(np.stack([np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept])]), axis=1)
+                        starts, here = both[0], both[1]
+                    starts = np.unique(starts)
+                    if len(starts):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), k, dtype=np.int32)), pa.array(own.docs[starts // span]), pa.array((starts % span).astype(np.int32))], schema=schema)
+
+    return index.mapInArrow(run, "phrase int, doc_id bigint, position int")
+
+
+def found(documents: DataFrame, items: DataFrame, least: int = LEAST, one_in: int = ONE_IN) -> DataFrame:
+    """(doc_id, item_id): the document holds a passage of the item."""
+    index, _ = Stored(documents.sparkSession).table(build(documents))
+    return leaks(index, items, least, one_in).select("doc_id", "item_id")

@@ -106,3 +106,30 @@ def test_holes_of_templates(language):
     for text in ("x = `${a +}`;", "x = `ok ${b} ${}`;", "x = `${a b}`;", "x = `${f(1,, 2)}`;", "x = `${`in ${c *}`}`;", "x = `${return a}`;"):
         why = examine(text, language)
         assert why is not None and why.cost >= 1 and why.at >= text.index("${"), text
+
+
+def test_one_index_serves_many_questions(spark):
+    base = [f"word{k}" for k in range(60)]
+    docs = [(1, " ".join(base[5:35])), (2, " ".join("x" if k % 11 == 5 else w for k, w in enumerate(base[:40]))), (3, "alpha beta gamma alpha x beta y gamma"), (4, None), (None, "alpha beta")]
+    index = leakage.build(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    items = spark.createDataFrame([(1, " ".join(base)), (2, "too short")], "item_id bigint, text string")
+    assert {tuple(r) for r in leakage.leaks(index, items).collect()} == {(1, 1, True), (2, 1, False)}
+    assert leakage.leaks(index, items.where("item_id = 2")).count() == 0
+    assert {tuple(r) for r in leakage.phrases(index, ["Alpha, beta gamma", "alpha gamma", "nothing", ""]).collect()} == {(0, 3, 0)}
+    assert {tuple(r) for r in leakage.phrases(index, ["alpha beta gamma"], within=1).collect()} == {(0, 3, 0), (0, 3, 3)}
+
+
+def test_proximity_takes_every_follower(spark):
+    index = leakage.build(spark.createDataFrame([(1, "a b b x c"), (2, "a x x b c")], "doc_id bigint, text string"))
+    assert {tuple(r) for r in leakage.phrases(index, ["a b c"], within=1).collect()} == {(0, 1, 0)}
+
+
+def test_shards_of_any_size_give_the_same(spark, monkeypatch):
+    base = [f"word{k}" for k in range(30)]
+    docs = [(k, " ".join(base if k % 3 else ["other", *base[:10]])) for k in range(20)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(base))], "item_id bigint, text string")
+    monkeypatch.setattr(leakage, "SHARD_WORDS", 40)
+    index = leakage.build(table)
+    assert index.count() > 10
+    assert {r["doc_id"] for r in leakage.leaks(index, items).collect()} == {k for k, _ in docs if k % 3}
