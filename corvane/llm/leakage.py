@@ -272,7 +272,7 @@ def leaks(index: DataFrame, items: DataFrame, least: int = LEAST, one_in: int =
             for row in range(batch.num_rows):
                 own = Shard(batch, row)
                 rows = []
-                for holder, item, ranges in candidates(own, asked, SEEDS_PER_WINDOW - most):
+                for holder, item, ranges in candidates(own, asked, SEEDS_PER_WINDOW - most, least):
                     doc, words_ = own.document(holder), asked.items[item]
                     starts = [s for s in ranges if promising(words_, doc, s, least, one_in)]
                     slack = len(words_) // one_in + WIDTH
@@ -285,8 +285,8 @@ def leaks(index: DataFrame, items: DataFrame, least: int = LEAST, one_in: int =
     return index.mapInArrow(run, form)
 
 
-def candidates(own: Shard, asked: Wanted, enough: int) -> Iterator[tuple[int, int, list[int]]]:
-    """(document, item, first offsets of cells) where that many looked-up positions of the item agree on an offset."""
+def candidates(own: Shard, asked: Wanted, enough: int, least: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(document, item, first offsets of cells) where that many looked-up positions of one window of the item agree on an offset."""
     which, at = own.postings(asked.terms)
     if not len(which):
         return
@@ -296,29 +296,34 @@ def candidates(own: Shard, asked: Wanted, enough: int) -> Iterator[tuple[int, in
     pair = own.holders[at].astype(np.int64) * len(asked.ids) + asked.owners[which]
     low = int(cells.min())
     span = int(cells.max()) - low + 1
+    longest = int(asked.offsets.max())
+    names = None
+    if len(own.docs) * len(asked.ids) * span * (longest + 1) >= 1 << 62:  # numbers in place of pairs keep the keys within 63 bits
+        names, pair = np.unique(pair, return_inverse=True)
     key = np.concatenate([pair, pair]) * span + (cells - low)
-    # offsets of one window differ by less than 64, so a bit each counts them
-    bits = np.left_shift(np.uint64(1), (asked.offsets[which] % 64).astype(np.uint64))
-    order = np.argsort(key, kind="stable")
-    key, bits = key[order], np.concatenate([bits, bits])[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    good = np.flatnonzero(np.bitwise_count(np.bitwise_or.reduceat(bits, first)) >= enough)
-    chosen = key[first[good]]
+    # as many different offsets as are needed, all within one window: places in the item that far apart in the sorted list
+    key, offset = np.divmod(np.unique(key * (longest + 1) + np.concatenate([asked.offsets[which]] * 2)), longest + 1)
+    first, last = np.arange(len(key) - enough + 1), np.arange(enough - 1, len(key))
+    good = (key[first] == key[last]) & (offset[last] - offset[first] < least) if len(first) else np.zeros(0, dtype=bool)
+    chosen = np.unique(key[first[good]])
     starts: dict[int, list[int]] = defaultdict(list)
     for k in chosen.tolist():
         cell = k % span + low
-        starts[k // span].append(cell // 2 * WIDTH - (WIDTH // 2 if cell % 2 else 0))
+        starts[k // span if names is None else int(names[k // span])].append(cell // 2 * WIDTH - (WIDTH // 2 if cell % 2 else 0))
     for k, offsets in starts.items():
         yield k // len(asked.ids), k % len(asked.ids), offsets
 
 
 def promising(item: np.ndarray, doc: np.ndarray, start: int, least: int, one_in: int) -> bool:
     """Whether enough words of some window stand where the cell of offsets has them: a bound that no passage falls below."""
-    there = np.zeros(len(item), dtype=bool)
-    for diagonal in range(start - WIDTH // 2, start + WIDTH + WIDTH // 2):
-        a, b = max(0, -diagonal), min(len(item), len(doc) - diagonal)
-        if b > a:
-            there[a:b] |= (item[a:b] == doc[a + diagonal : b + diagonal]) & (item[a:b] != STOCK)
+    low, width, n = start - WIDTH // 2, 2 * WIDTH, len(item)
+    near = np.full(n + width - 1, STOCK, dtype=np.int64)
+    a, b = max(0, low), min(len(doc), low + len(near))
+    if b <= a:
+        return False
+    near[a - low : b - low] = doc[a:b]
+    rows = np.lib.stride_tricks.as_strided(near, (n, width), near.strides * 2, writeable=False)
+    there = (rows == item[:, None]).any(axis=1) & (item != STOCK)
     sums = np.concatenate([[0], np.cumsum(there)])
     return bool((sums[least:] - sums[:-least]).max(initial=0) >= least - most_edits(least, one_in))
 
