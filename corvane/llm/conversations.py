@@ -5,10 +5,12 @@
    component with exactly one first entry is reached as a whole, since every entry has at most one parent.
 3. Order: an entry stands after its parent. Where time already rises strictly along every reply, time is that order;
    where it does not (ties, nulls, clock steps, forks), the depth below the first entry is computed by pointer doubling.
-4. Next turns are found in two levels: inside blocks of about ``BLOCK`` entries of a session, then over block ends, so
-   that no session, however long, is one task.
+4. Next turns are found in two levels: inside blocks of a session, then over block ends, so that no session longer than
+   ``BLOCK`` is one task.
 
-Cases: ``session_id`` is compared trimmed and in lower case; a blank or null one is a session named ''; a null ``uuid``
+Cases: ``session_id`` is compared trimmed and in lower case; rows with a blank or null one are
+rebuilt from reply links alone: each component of them is a session, named ``thread:`` and the number of its component (their
+``uuid`` must then be unique among them); a null ``uuid``
 makes an entry of its own row; repeated rows with clashing fields keep the least value; a preview of only spaces or
 zero-width characters is blank; roles and types have the aliases below in any case; an entry that is its own parent is a
 cycle; an empty table gives no rows. Columns other than those named are ignored.
@@ -23,31 +25,36 @@ from pyspark.sql.window import Window
 from corvane.llm.components import connected_components
 from corvane.session import Stored
 
-BLOCK = 4096
+BLOCK = 4096  # entries of a session that are looked at in one task
+PARTS = 256  # blocks of a longer session
 USER, ASSISTANT, OTHER = 1, 2, 3
 ALIASES = {
     USER: ("user", "human", "customer", "prompter"),
     ASSISTANT: ("assistant", "ai", "model", "bot", "agent"),
     OTHER: ("system", "summary", "file-history-snapshot", "tool", "developer", "meta"),
 }
-BLANK = r"[\s\p{Z}\p{Cf}\p{Cc}ᅟᅠㅤ⠀]+"
+NAMES = {name: code for code, names in ALIASES.items() for name in names}
+SOLID = r"[^\s\p{Z}\p{Cf}\p{Cc}ᅟᅠㅤ⠀]"
 EDGES = r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$"
+PLAIN = r"^[!-~]+$"  # nothing to trim
+
+
+def trimmed(name: Column) -> Column:
+    """In lower case, without blanks of any kind at the ends."""
+    return F.lower(F.when(F.rlike(name, F.lit(PLAIN)), name).otherwise(F.regexp_replace(name, EDGES, "")))
 
 
 def kind_of(name: Column) -> Column:
-    clean = F.lower(F.regexp_replace(name, EDGES, ""))
-    kind = F.lit(None).cast("int")
-    for code, names in ALIASES.items():
-        kind = F.when(clean.isin(*names), code).otherwise(kind)
-    return kind
+    codes = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    return F.try_element_at(codes, trimmed(name))
 
 
 def session_name(column: Column) -> Column:
-    return F.lower(F.regexp_replace(F.coalesce(column, F.lit("")), EDGES, ""))
+    return trimmed(F.coalesce(column, F.lit("")))
 
 
 def has_text(column: Column) -> Column:
-    return F.coalesce(F.regexp_replace(column, BLANK, "") != "", F.lit(False))
+    return F.coalesce(F.rlike(column, F.lit(SOLID)), F.lit(False))
 
 
 def parsed_time(ts: Column) -> Column:
@@ -76,6 +83,14 @@ def reply_components(found: DataFrame, stored: Stored) -> DataFrame:
     return connected_components(links, stored)
 
 
+def threads(found: DataFrame, components: DataFrame) -> DataFrame:
+    """The entries, those without a session in sessions of their own: the components of their reply links."""
+    blank = found.where("sid = ''").join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    name = F.concat(F.lit("thread:"), F.lower(F.hex("component")))
+    named = blank.withColumn("sid", name).withColumn("s", F.xxhash64("sid")).drop("component")
+    return found.where("sid <> ''").unionByName(named.select(found.columns))
+
+
 def session_facts(found: DataFrame, components: DataFrame) -> DataFrame:
     """Per session: first entries, whether all lie in one component, whether a kind is unknown, turns with content."""
     own = found.select("s", "id", F.col("parent").isNull().alias("first"), "kind", "content")
@@ -119,11 +134,16 @@ def ordered(found: DataFrame, whole: DataFrame, stored: Stored) -> DataFrame:
 
 
 def blocked(placed: DataFrame) -> DataFrame:
-    """With ``block``: parts of a session in its order, of BLOCK entries on average; a short session is one block."""
-    ranges = placed.groupBy("s").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    share = (F.col("pos") - F.col("first_pos")) / (F.col("last_pos") - F.col("first_pos") + 1)
-    # only sessions longer than a block have a range here: few rows
-    return placed.join(ranges, "s", "left").withColumn("block", F.coalesce(F.floor(share * F.ceil(F.col("size") / BLOCK)), F.lit(0))).drop("first_pos", "last_pos", "size")
+    """With ``block``: parts of a session in its order, with about as many entries each; a session up to BLOCK is one block.
+
+    The cuts are quantiles of the session's own places, so an outlier in time moves no more than itself.
+    """
+    long = placed.groupBy("s").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("s")
+    fractions = F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)])
+    cuts = placed.select("s", "pos").join(long, "s").groupBy("s").agg(F.percentile_approx("pos", fractions, F.lit(20 * PARTS)).alias("cuts"))
+    # only sessions longer than a block have cuts: few rows
+    below = F.aggregate("cuts", F.lit(0).cast("bigint"), lambda n, cut: n + (cut < F.col("pos")).cast("bigint"))
+    return placed.join(cuts, "s", "left").withColumn("block", F.coalesce(below, F.lit(0).cast("bigint"))).drop("cuts")
 
 
 def unanswered(placed: DataFrame) -> DataFrame:
@@ -145,7 +165,10 @@ def sessions(turns: DataFrame, keep: bool) -> tuple[DataFrame, DataFrame, DataFr
     """(sid, s, reason) of the sessions to drop, the ordered entries of the others (and maybe more), and all entries."""
     stored = Stored(turns.sparkSession)
     found, _ = stored.table(entries(turns))
-    facts, _ = stored.table(session_facts(found, reply_components(found, stored)))
+    components = reply_components(found, stored)
+    if not found.where("sid = ''").isEmpty():
+        found, _ = stored.table(threads(found, components))
+    facts, _ = stored.table(session_facts(found, components))
     broken = F.col("unknown") | F.col("split") | (F.col("firsts") != 1)
     empty = (F.col("user") == 0) | (F.col("assistant") == 0)
     # only where nothing else speaks against a session does its order matter
@@ -175,10 +198,10 @@ def conversations(turns: DataFrame) -> DataFrame:
     sizes = parts.groupBy("s", "block").agg(F.count("*").alias("m"))
     offsets = sizes.withColumn("offset", F.coalesce(F.sum("m").over(Window.partitionBy("s").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     positions = numbered.join(offsets.select("s", "block", "offset"), ["s", "block"]).select("id", (F.col("offset") + F.col("rank")).alias("position"))
-    placed_turns = positions.join(found.select("id", "sid", "uuid", "kind"), "id").select("sid", "uuid", "kind", "position")
-    texts = turns.select(session_name(F.col("session_id")).alias("sid"), F.coalesce("uuid", F.concat(F.lit("row:"), F.col("turn_id").cast("string"))).alias("uuid"), "block_idx", "content_preview", "tool").distinct()
-    blocks = texts.groupBy("sid", "uuid").agg(F.array_sort(F.collect_list(F.struct("block_idx", "content_preview", "tool"))).alias("b"))
-    return placed_turns.join(blocks, ["sid", "uuid"]).select(
+    placed_turns = positions.join(found.select("id", "sid", "kind"), "id").select("id", "sid", "kind", "position")
+    texts = turns.select(F.xxhash64(session_name(F.col("session_id")), F.coalesce("uuid", F.concat(F.lit("row:"), F.col("turn_id").cast("string")))).alias("id"), "block_idx", "content_preview", "tool").distinct()
+    blocks = texts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "content_preview", "tool"))).alias("b"))
+    return placed_turns.join(blocks, "id").select(
         F.col("sid").alias("session_id"),
         "position",
         F.when(F.col("kind") == USER, "user").otherwise("assistant").alias("role"),

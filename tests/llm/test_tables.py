@@ -44,12 +44,30 @@ def test_conversations(spark):
     rows += [turn(20, None, None, None, "user"), turn(21, "tool", "u1", None, "HUMAN"), turn(22, "tool", "a1", "u1", "ai", None, tool="Bash")]
     table = spark.createDataFrame(rows, TURNS)
     got = {r["sid"]: r["reason"] for r in conversations.dropped_sessions(table).collect()}
-    assert got == {"open": "unanswered", "two": "broken", "gone": "broken", "loop": "broken", "blank": "empty", "what": "broken", "": "empty"}
+    lone = [got.pop(s) for s in list(got) if s.startswith("thread:")]
+    assert got == {"open": "unanswered", "two": "broken", "gone": "broken", "loop": "broken", "blank": "empty", "what": "broken"} and lone == ["empty"]
     kept = [r for r in conversations.conversations(table).collect() if r["session_id"] == "a"]
     assert sorted((r["position"], r["role"], r["preview"], tuple(r["tools"])) for r in kept) == [(1, "user", "hi", ()), (2, "assistant", "hi\nmore", ("Read",))]
     assert conversations.dropped_sessions(table.where("false")).count() == 0
 
 
+def test_conversations_without_session_ids(spark):
+    rows = [turn(1, None, "q1", None, "user", "one"), turn(2, " ", "r1", "q1", "assistant"), turn(3, None, "q2", None, "user", "two"), turn(4, None, "r2", "q2", "assistant"), turn(5, None, "q3", "r2", "user", "more"), turn(6, "s", "q1", None, "user"), turn(7, "s", "r9", "q1", "assistant")]
+    table = spark.createDataFrame(rows, TURNS)
+    assert sorted(r["reason"] for r in conversations.dropped_sessions(table).collect()) == ["unanswered"]
+    kept = {}
+    for r in conversations.conversations(table).collect():
+        kept.setdefault(r["session_id"], []).append((r["position"], r["role"], r["preview"]))
+    assert len(kept) == 2 and {tuple(sorted(v)) for k, v in kept.items() if k != "s"} == {((1, "user", "one"), (2, "assistant", "hi"))}
+
+
+def test_an_outlier_in_time_leaves_blocks_small(spark, monkeypatch):
+    monkeypatch.setattr(conversations, "BLOCK", 16)
+    placed = spark.range(4000).selectExpr("1L AS s", "id", "CASE WHEN id = 0 THEN -1000000000L ELSE id END AS pos")
+    sizes = [r["count"] for r in conversations.blocked(placed).groupBy("block").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 100 and len(sizes) > 100
+
+
 def test_long_conversation_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(conversations, "BLOCK", 4)
     rows = [turn(k, "long", f"e{k}", f"e{k - 1}" if k else None, "user" if k % 2 == 0 else "assistant", ts="2024-01-01T00:00:00Z") for k in range(24)]
