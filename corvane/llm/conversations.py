@@ -94,7 +94,7 @@ def threads(found: DataFrame, components: DataFrame) -> DataFrame:
 def session_facts(found: DataFrame, components: DataFrame) -> DataFrame:
     """Per session: first entries, whether all lie in one component, whether a kind is unknown, turns with content."""
     own = found.select("s", "id", F.col("parent").isNull().alias("first"), "kind", "content")
-    labelled = own.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = own.join(components.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return labelled.groupBy("s").agg(
         F.count_if("first").alias("firsts"),
         (F.min("component") != F.max("component")).alias("split"),
@@ -121,10 +121,10 @@ def depths(found: DataFrame, stored: Stored, most_rounds: int = 60) -> DataFrame
 def ordered(found: DataFrame, whole: DataFrame, stored: Stored) -> DataFrame:
     """Entries of the sessions in ``whole`` (reached from one first entry), with ``pos``: rises along every reply."""
     kept = found.select("s", "id", "parent", "kind", "content", "at").join(whole.select("s"), "s", "left_semi")
-    above = kept.select(F.col("id").alias("parent"), F.col("at").alias("before"))
+    above = kept.select(F.col("id").alias("parent"), F.col("at").alias("before"))  # a row per entry
     rises = F.col("at").isNotNull() & (F.col("parent").isNull() | F.coalesce(F.col("before") < F.col("at"), F.lit(False)))
     # per parent first: several replies to one entry have no order by time alone
-    replies = kept.join(above, "parent", "left").groupBy("s", "parent").agg(F.bool_and(rises).alias("rises"), F.count("*").alias("n"))
+    replies = kept.join(above.hint("shuffle_hash"), "parent", "left").groupBy("s", "parent").agg(F.bool_and(rises).alias("rises"), F.count("*").alias("n"))
     timed = replies.groupBy("s").agg((F.bool_and("rises") & (F.max("n") <= 1)).alias("timed"))
     marked, _ = stored.table(kept.join(timed, "s"))
     odd = marked.where("not timed")
