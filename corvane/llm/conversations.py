@@ -111,7 +111,7 @@ def depths(found: DataFrame, stored: Stored, most_rounds: int = 60) -> DataFrame
         if current.where("up is not null").isEmpty():
             return current.select("id", "depth")
         above = current.select(F.col("id").alias("up"), F.col("up").alias("next_up"), F.col("depth").alias("more"))
-        stepped = current.join(above, "up", "left").select("id", F.col("next_up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        stepped = current.join(above.hint("shuffle_hash"), "up", "left").select("id", F.col("next_up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         following, next_path = stored.table(stepped)
         stored.drop(path)
         current, path = following, next_path
@@ -129,7 +129,7 @@ def ordered(found: DataFrame, whole: DataFrame, stored: Stored) -> DataFrame:
     marked, _ = stored.table(kept.join(timed, "s"))
     odd = marked.where("not timed")
     by_time = marked.where("timed").select("s", "id", "kind", "content", F.col("at").alias("pos"), F.lit(0).cast("bigint").alias("tie"))
-    by_depth = odd.join(depths(odd, stored), "id").select("s", "id", "kind", "content", F.col("depth").alias("pos"), F.coalesce("at", F.lit(0)).alias("tie"))
+    by_depth = odd.join(depths(odd, stored).hint("shuffle_hash"), "id").select("s", "id", "kind", "content", F.col("depth").alias("pos"), F.coalesce("at", F.lit(0)).alias("tie"))
     return by_time.unionByName(by_depth)
 
 
