@@ -13,15 +13,18 @@ null or malformed. A call delivered again counts once. An empty table gives no r
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.sketch import RelativeSketch, rank_error, runs
 
+MOST_HELD = 20_000  # combinations of keys that a task sketches at once
 QUANTILES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 METRICS = ("latency_ms", "compression_ratio")
 
@@ -55,10 +58,20 @@ def schema_of(df: DataFrame, keys: Sequence[str]) -> str:
 
 
 def sketch_partitions(keys: Sequence[str], k: int, high: bool, schema: pa.Schema):
-    """For mapInArrow: a sketch for each combination of keys in the partition."""
+    """For mapInArrow: sketches of each combination of keys in the partition.
+
+    No more than ``MOST_HELD`` combinations are held at once; then they go out and begin anew, to be merged with the others.
+    """
+
+    def packed(held: dict[tuple, list]) -> Iterator[pa.RecordBatch]:
+        rows = ((*group, m, s.n, missing, s.to_bytes()) for group, pairs in held.items() for m, (s, missing) in zip(METRICS, pairs))
+        while part := list(itertools.islice(rows, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
+        # coins of different partitions and rounds are independent, and the same when a task is run again
+        here, rounds = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -79,14 +92,15 @@ def sketch_partitions(keys: Sequence[str], k: int, high: bool, schema: pa.Schema
                     group.append(value[at])
                 group = tuple(reversed(group))
                 if group not in held:
-                    held[group] = [[RelativeSketch(k, high, hash_seed(group, m)), 0] for m in METRICS]
+                    held[group] = [[RelativeSketch(k, high, hash_seed((here, rounds, *group), m)), 0] for m in METRICS]
                 for (sketch, _), pair, metric in zip(held[group], held[group], METRICS):
                     part = values[metric][start:end].astype(float)
                     sketch.update(part)
                     pair[1] += int(np.isnan(part).sum())
-        rows = [(*group, m, s.n, missing, s.to_bytes()) for group, pairs in held.items() for m, (s, missing) in zip(METRICS, pairs)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            if len(held) > MOST_HELD:
+                yield from packed(held)
+                held, rounds = {}, rounds + 1
+        yield from packed(held)
 
     return run
 
@@ -137,17 +151,18 @@ def arrow_schema(df: DataFrame, keys: Sequence[str]) -> pa.Schema:
 def build_cells(values: DataFrame, keys: Sequence[str], k: int = 32, high: bool = True) -> DataFrame:
     """A sketch for each combination of keys and metric."""
     partial = values.mapInArrow(sketch_partitions(keys, k, high, arrow_schema(values, keys)), schema_of(values, keys))
-    return merge_cells(partial, keys)
+    return merge_cells(partial, keys, local=False)
 
 
-def merge_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cells merged to coarser keys: within the partitions first, then across them."""
+def merge_cells(cells: DataFrame, keys: Sequence[str], local: bool = True) -> DataFrame:
+    """Cells merged to coarser keys: within the partitions first (where a partition may hold several of a key), then across them."""
     keys = list(keys)
     kept = cells.select(*keys, "metric", "n", "n_missing", "sketch")
     merge = merge_sorted(keys, arrow_schema(kept, keys))
     order = [*keys, "metric"]
-    local = kept.sortWithinPartitions(*order).mapInArrow(merge, schema_of(kept, keys))
-    return local.repartition(*order).sortWithinPartitions(*order).mapInArrow(merge, schema_of(kept, keys))
+    if local:
+        kept = kept.sortWithinPartitions(*order).mapInArrow(merge, schema_of(kept, keys))
+    return kept.repartition(*order).sortWithinPartitions(*order).mapInArrow(merge, schema_of(kept, keys))
 
 
 def quantile_rows(cells: DataFrame, keys: Sequence[str], qs: Sequence[float] = QUANTILES) -> DataFrame:
@@ -179,10 +194,10 @@ def percentiles(calls: DataFrame, keys: Sequence[str] = ("feature",), finest: Se
     return quantile_rows(merge_cells(cells, keys) if set(keys) != set(finest) else cells, keys, qs)
 
 
-def certified(calls: DataFrame, qs: Sequence[float] = QUANTILES, k: int = 32) -> DataFrame:
-    """Each reported percentile per feature with the exact number of values below and up to it, and whether the bound holds."""
-    found = percentiles(calls, ("feature",), ("feature", "project"), qs, k)
-    values = call_values(calls, ["feature"])
+def certified(calls: DataFrame, qs: Sequence[float] = QUANTILES, k: int = 32, key: str = "feature", over: str = "project") -> DataFrame:
+    """Each reported percentile per key, merged from cells by key and ``over``, with whether its bound holds on exact ranks."""
+    found = percentiles(calls, (key,), (key, over), qs, k).withColumnRenamed(key, "feature")
+    values = call_values(calls, [key]).withColumnRenamed(key, "feature")
     long = values.select("feature", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS])).alias("m")).select("feature", "m.*").where("x is not null")
     # ranks come from one pass over the counted values
     bounds = found.where("value is not null").groupBy("feature", "metric").agg(F.collect_list(F.struct("q", "value", "rank_low", "rank_high")).alias("asked"))
@@ -193,4 +208,4 @@ def certified(calls: DataFrame, qs: Sequence[float] = QUANTILES, k: int = 32) ->
         .groupBy("feature", "metric", F.col("a.q").alias("q"), F.col("a.rank_low").alias("low"), F.col("a.rank_high").alias("high"))
         .agg(F.sum("c").alias("n"), F.sum(F.when(F.col("x") < F.col("a.value"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("x") <= F.col("a.value"), F.col("c")).otherwise(0)).alias("upto"))
     )
-    return ranked.select("feature", "metric", "q", F.col("n").cast("bigint").alias("n"), ((F.col("upto") >= F.col("low")) & (F.col("below") < F.greatest("high", F.lit(1)))).alias("within_bound"))
+    return ranked.select(F.col("feature").alias(key), "metric", "q", F.col("n").cast("bigint").alias("n"), ((F.col("upto") >= F.col("low")) & (F.col("below") < F.greatest("high", F.lit(1)))).alias("within_bound"))

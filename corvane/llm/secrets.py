@@ -284,8 +284,11 @@ def opening(value: str) -> bool:
 
 
 # Fixed words: values of these names are random and open to all.
-OPEN_WORDS = ABOUT_WORDS | frozenset("commit revision rev cert certificate md uuid guid signature sig etag nonce trace span request correlation cursor chunk blob data image icon font sourcemap wasm buffer seed salt oid thumbprint tag snapshot".split())
+OPEN_WORDS = ABOUT_WORDS | frozenset("commit revision rev cert certificate md uuid guid signature sig etag nonce trace span request correlation cursor chunk data image icon font sourcemap wasm buffer seed salt oid thumbprint tag snapshot".split())
 ARMOUR = re.compile(r"-----BEGIN (?:(?!PRIVATE)[A-Z0-9]+ )*(?:PUBLIC KEY|CERTIFICATE|CERTIFICATE REQUEST|MESSAGE|SIGNATURE)-----.*?(?:-----END|\Z)", re.DOTALL)
+MARKS = "!#$%&*?@^~"
+# a quoted value with marks that neither base64 nor a path has, and nothing that separates
+MARKED = re.compile(r"""(?P<q>["'`])(?=[^"'`\n]*[!#$%&*?@^~])(?P<value>[A-Za-z0-9!#$%&*+\-.=?@^_~|]{16,})(?P=q)""")
 WRAPPED_FROM = 64  # characters of a literal that has its line for itself: from here on it is data stored as code
 RUN = re.compile(r"""(["'])(?:(?!\1)[^\\\n])*\1(?:\s*\+\s*(["'])(?:(?!\2)[^\\\n])*\2)+""")
 ENTRY = re.compile(r"""[ \t]*[+(\[]?[ \t]*[rbufRBUF@$]{0,2}(?:(?P<q>["'`])(?:(?!(?P=q)).)*(?P=q)[ \t]*[,+.;)\]\\]*[ \t]*|[A-Za-z0-9+/=_\-]{20,}\\?)\r?""")
@@ -307,6 +310,13 @@ def unnamed(text: str, at: int, findings: list[Finding]) -> None:
         inner(value, 0, hits, 1)
         if hits:
             findings += [Finding(at + a, at + b, "joined") for a, b in spans if b > a]
+    for m in MARKED.finditer(text):
+        value = m["value"]
+        if sum(c in MARKS for c in value) > len(value) // 3 or re.search(r"[?&]\w+=", value) or not scattered(value) or not random_looking(value) or not secret_value(value):
+            continue
+        name = before(text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 400) : m.start()])
+        if not any(p in OPEN_WORDS for p in name_parts(name)):
+            findings.append(Finding(at + m.start("value"), at + m.end("value"), "random"))
     armour: list[tuple[int, int]] | None = None
     for m in LONG.finditer(text):
         value = m[0]

@@ -75,6 +75,14 @@ def test_random_values_without_a_secret_name():
     assert len(secrets.find(text)) == 2 and "yg0b" not in secrets.mask(text)
 
 
+def test_random_values_with_marks_or_plain_names():
+    for value in ("hV7#kd92LmQ!zP0s_wRt84Yb", "zT4kQ9vLm2XwR7pNc8HsYd3Jb6FgKa1U"):
+        for text in (f'x = "{value}"', f'const blob = "{value}"', f'deploy("{value}")'):
+            assert [text[f.start : f.end] for f in secrets.find(text)] == [value], text
+    for text in ('re = "^[a-z0-9]+$"', 's = "%d-%s #%d items!"', 'u = "user@example.com"', 'x = "v1.2.3-rc4+build.5"', 'm = "abc123_def456?x=1&y=2"', 'm = "alpha_beta?page=1&size=20"'):
+        assert secrets.find(text) == [], text
+
+
 def test_random_values_that_are_open():
     table = "\n".join(f'  "{KEY[k:] + KEY[:k]}",' for k in range(4))
     for text in (f'etag = "{KEY}"', f'commit_id: {KEY}', f"data = [\n{table}\n]", f'x = "sha512-{KEY}{KEY}=="', "ssh-rsa " + KEY * 3, f"-----BEGIN CERTIFICATE-----\n{KEY}\n-----END CERTIFICATE-----", 'f("AcquireCachedTokenStream84", "token_stream/previous/726")', f'x("{"4198ef512a2f4b6c290f1ab004230fd4" * 2}")', 'open("h", "b42c7d9e-11aa-4c6f-8d20-93f1e07c5a64")'):
