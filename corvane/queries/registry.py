@@ -65,7 +65,16 @@ STATS = f"""count(*) AS calls, count(*) FILTER (has_error) AS errors, count(*) F
   coalesce(CAST(sum(budget_used) FILTER (budget_used > 0) // count(*) FILTER (budget_used > 0) AS BIGINT), 0) AS avg_tok,
   coalesce(round(avg(1 / compression_ratio) FILTER ({PLAIN_CALLS}), 6), 0.0) AS ratio,
   count(*) FILTER (feedback = 'good') AS good, count(*) FILTER (feedback = 'bad') AS bad, min(seq) AS first_seq"""
-LANGUAGES = "CASE lower(regexp_extract(rel_path, '(\\.[^./]*)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in exprs.LANGUAGE_OF_EXTENSION.items()) + " ELSE '' END"
+# Fixed values, written out once more: what the other engine must find must not come from the code it checks.
+LANGUAGES = r"""CASE lower(regexp_extract(rel_path, '(\.[^./]*)$', 1))
+  WHEN '.go' THEN 'Go' WHEN '.py' THEN 'Python' WHEN '.ts' THEN 'TypeScript' WHEN '.tsx' THEN 'TypeScript' WHEN '.js' THEN 'JavaScript' WHEN '.jsx' THEN 'JavaScript' WHEN '.mjs' THEN 'JavaScript' WHEN '.rs' THEN 'Rust'
+  WHEN '.java' THEN 'Java' WHEN '.cs' THEN 'C#' WHEN '.axaml' THEN 'C#' WHEN '.xaml' THEN 'C#' WHEN '.cpp' THEN 'C++' WHEN '.cc' THEN 'C++' WHEN '.cxx' THEN 'C++' WHEN '.c' THEN 'C'
+  WHEN '.h' THEN 'C/C++' WHEN '.hpp' THEN 'C++' WHEN '.rb' THEN 'Ruby' WHEN '.kt' THEN 'Kotlin' WHEN '.kts' THEN 'Kotlin' WHEN '.swift' THEN 'Swift' WHEN '.php' THEN 'PHP' WHEN '.scala' THEN 'Scala'
+  WHEN '.hs' THEN 'Haskell' WHEN '.ex' THEN 'Elixir' WHEN '.exs' THEN 'Elixir' WHEN '.clj' THEN 'Clojure' WHEN '.ml' THEN 'OCaml' WHEN '.mli' THEN 'OCaml' WHEN '.fs' THEN 'F#' WHEN '.fsx' THEN 'F#'
+  WHEN '.lua' THEN 'Lua' WHEN '.r' THEN 'R' WHEN '.dart' THEN 'Dart' WHEN '.md' THEN 'Markdown' WHEN '.mdx' THEN 'Markdown' WHEN '.json' THEN 'JSON' WHEN '.yaml' THEN 'YAML' WHEN '.yml' THEN 'YAML'
+  WHEN '.toml' THEN 'TOML' WHEN '.xml' THEN 'XML' WHEN '.html' THEN 'HTML' WHEN '.htm' THEN 'HTML' WHEN '.css' THEN 'CSS' WHEN '.scss' THEN 'SCSS' WHEN '.sass' THEN 'SCSS' WHEN '.sql' THEN 'SQL'
+  WHEN '.sh' THEN 'Shell' WHEN '.bash' THEN 'Shell' WHEN '.zsh' THEN 'Shell' WHEN '.fish' THEN 'Shell' WHEN '.ps1' THEN 'PowerShell' WHEN '.proto' THEN 'Protobuf' WHEN '.tf' THEN 'Terraform' WHEN '.tfvars' THEN 'Terraform'
+  ELSE '' END"""
 ROLES = f"""CASE WHEN contains(lower(rel_path), 'generated') OR contains(lower(rel_path), '.gen.') OR lower(rel_path) LIKE '%.pb.go' OR ends_with(lower(rel_path), '_gen.go') OR lower(rel_path) LIKE '%.generated.ts' THEN 'generated'
   WHEN starts_with(lower(rel_path), 'vendor/') OR contains(lower(rel_path), '/vendor/') THEN 'vendor'
   WHEN ends_with(lower(rel_path), '_test.go') OR starts_with(parse_filename(rel_path), 'test_') OR regexp_matches(lower(rel_path), '\\.(test|spec)\\.(ts|js)$') OR regexp_matches(lower(rel_path), '/(test|tests|spec|__tests__)/') THEN 'test'
@@ -105,7 +114,7 @@ def calls_helpful_rate(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.helpful(table(spark, folder, "calls"))
 
 
-CONTENT = "('" + "', '".join(exprs.CONTENT_FEATURES) + "')"
+CONTENT = "('" + "', '".join(("context", "explain-file", "impact", "verify-plan", "failure-context", "repo-overview", "related", "tests", "symbols")) + "')"
 
 
 @query(f"""WITH c AS (SELECT project, seq, coalesce(feedback, '') <> '' AS rated FROM calls WHERE feature IN {CONTENT}), m AS (SELECT project, coalesce(max(seq) FILTER (rated), -1) AS last FROM c GROUP BY project)
@@ -152,13 +161,43 @@ def files_top_level(spark: SparkSession, folder: str) -> DataFrame:
     return files.groupBy("root", parts[0].alias("value")).agg(F.min(F.struct(parts.alias("w"), F.col("role").alias("r")))["r"].alias("role"), F.count("*").alias("files"))
 
 
+# Marker files of build and test systems with their phase, and notes of top-level directories.
+BUILD_MARKS = """(VALUES
+  ('go.mod', 'Go Modules', 0), ('package.json', 'npm', 0), ('Cargo.toml', 'Cargo', 0), ('pom.xml', 'Maven', 0), ('build.gradle', 'Gradle', 0), ('build.gradle.kts', 'Gradle', 0),
+  ('Makefile', 'Make', 0), ('makefile', 'Make', 0), ('GNUmakefile', 'Make', 0), ('CMakeLists.txt', 'CMake', 0), ('BUILD', 'Bazel', 0), ('WORKSPACE', 'Bazel', 0),
+  ('MODULE.bazel', 'Bazel', 0), ('pyproject.toml', 'Poetry', 0), ('Pipfile', 'Pipenv', 0), ('requirements.txt', 'pip', 0), ('setup.py', 'pip', 0), ('setup.cfg', 'pip', 0),
+  ('Gemfile', 'Bundler', 0), ('composer.json', 'Composer', 0), ('mix.exs', 'Mix', 0), ('build.sbt', 'sbt', 0), ('Dockerfile', 'Docker', 0), ('docker-compose.yml', 'Docker Compose', 0),
+  ('docker-compose.yaml', 'Docker Compose', 0), ('global.json', 'MSBuild', 0), ('Directory.Build.props', 'MSBuild', 0), ('Directory.Build.targets', 'MSBuild', 0), ('NuGet.Config', 'MSBuild', 0), ('vite.config.ts', 'Vite', 1),
+  ('vite.config.js', 'Vite', 1), ('vite.config.mts', 'Vite', 1), ('vite.config.mjs', 'Vite', 1), ('next.config.js', 'Next.js', 1), ('next.config.ts', 'Next.js', 1), ('next.config.mjs', 'Next.js', 1),
+  ('webpack.config.js', 'Webpack', 1), ('webpack.config.ts', 'Webpack', 1), ('webpack.config.mjs', 'Webpack', 1), ('rollup.config.js', 'Rollup', 1), ('rollup.config.ts', 'Rollup', 1), ('rollup.config.mjs', 'Rollup', 1),
+  ('turbo.json', 'Turbo', 1), ('electron-builder.yml', 'Electron', 1), ('electron-builder.json', 'Electron', 1), ('nx.json', 'Nx', 1)) AS marks(marker, name, phase)"""
+TEST_MARKS = """(VALUES
+  ('pytest.ini', 'pytest', 0), ('pyproject.toml', 'pytest', 0), ('setup.cfg', 'pytest', 0), ('jest.config.js', 'Jest', 0), ('jest.config.ts', 'Jest', 0), ('jest.config.mjs', 'Jest', 0),
+  ('vitest.config.ts', 'Vitest', 0), ('vitest.config.js', 'Vitest', 0), ('.rspec', 'RSpec', 0), ('.mocharc.js', 'Mocha', 0), ('.mocharc.yml', 'Mocha', 0), ('.mocharc.yaml', 'Mocha', 0),
+  ('phpunit.xml', 'PHPUnit', 0), ('phpunit.xml.dist', 'PHPUnit', 0), ('playwright.config.ts', 'Playwright', 1), ('playwright.config.js', 'Playwright', 1), ('playwright.config.mjs', 'Playwright', 1), ('cypress.config.ts', 'Cypress', 1),
+  ('cypress.config.js', 'Cypress', 1), ('vitest.config.ts', 'Vitest', 1), ('vitest.config.js', 'Vitest', 1)) AS marks(marker, name, phase)"""
+TOP = """(VALUES
+  ('cmd', 'command entry points'), ('internal', 'internal packages'), ('pkg', 'public packages'), ('api', 'API definitions'), ('web', 'web/frontend'), ('frontend', 'web/frontend'),
+  ('ui', 'web/frontend'), ('test', 'test suites'), ('tests', 'test suites'), ('spec', 'test suites'), ('specs', 'test suites'), ('docs', 'documentation'),
+  ('doc', 'documentation'), ('documentation', 'documentation'), ('scripts', 'build/automation scripts'), ('script', 'build/automation scripts'), ('deploy', 'infrastructure/deployment'), ('infra', 'infrastructure/deployment'),
+  ('terraform', 'infrastructure/deployment'), ('k8s', 'infrastructure/deployment'), ('kubernetes', 'infrastructure/deployment'), ('proto', 'protobuf definitions'), ('protobuf', 'protobuf definitions')) AS notes(name, note)"""
+
+
+def found_systems(marks: str) -> str:
+    return f"SELECT root, name, min(phase) AS phase FROM tree JOIN {marks} ON parse_filename(rel_path) = marker WHERE phase = 1 OR NOT contains(rel_path, '/') GROUP BY ALL"
+
+
 @query(f"""WITH {TREE}, t AS (SELECT root, string_split(rel_path, '/')[1] AS value, string_split(rel_path, '/') AS walk FROM tree WHERE len(string_split(rel_path, '/')) = 2), d AS (SELECT root, value, count(*) AS n, min(walk) AS walk FROM t GROUP BY root, value)
 SELECT root, 'notable_dir' AS section, value, CAST(n AS VARCHAR) AS notes, ord FROM (SELECT *, CAST(row_number() OVER (PARTITION BY root ORDER BY walk) - 1 AS INT) AS ord FROM d) WHERE ord < 12
 UNION ALL SELECT root, 'language', language, CAST(n AS VARCHAR), CAST(row_number() OVER (PARTITION BY root ORDER BY n DESC, language) - 1 AS INT) FROM (SELECT root, language, count(*) AS n FROM tree WHERE language <> '' GROUP BY ALL)
 UNION ALL SELECT root, 'generated_area', dir, '', CAST(row_number() OVER (PARTITION BY root ORDER BY walk) - 1 AS INT) FROM (SELECT root, {DIR.format("rel_path")} AS dir, min(string_split(rel_path, '/')) AS walk FROM tree WHERE role = 'generated' GROUP BY ALL)
-UNION ALL SELECT root, 'config_file', rel_path, '', CAST(row_number() OVER (PARTITION BY root ORDER BY rel_path) - 1 AS INT) FROM tree WHERE role = 'config' AND NOT contains(rel_path, '/')""")
+UNION ALL SELECT root, 'config_file', rel_path, '', CAST(row_number() OVER (PARTITION BY root ORDER BY rel_path) - 1 AS INT) FROM tree WHERE role = 'config' AND NOT contains(rel_path, '/')
+UNION ALL SELECT root, 'build_system', name, '', CAST(row_number() OVER (PARTITION BY root ORDER BY phase, name) - 1 AS INT) FROM ({found_systems(BUILD_MARKS)})
+UNION ALL SELECT root, 'test_system', name, '', CAST(row_number() OVER (PARTITION BY root ORDER BY phase, name) - 1 AS INT) FROM (SELECT root, name, min(phase) AS phase FROM ({found_systems(TEST_MARKS)} UNION ALL SELECT DISTINCT root, 'Go test', 2 FROM tree WHERE ends_with(rel_path, '_test.go')) GROUP BY ALL)
+UNION ALL SELECT root, 'top_level', value, coalesce(note, CASE WHEN role = 'config' THEN 'configuration' ELSE '' END), CAST(row_number() OVER (PARTITION BY root ORDER BY walk) - 1 AS INT)
+  FROM (SELECT root, string_split(rel_path, '/')[1] AS value, min(string_split(rel_path, '/')) AS walk, first(role ORDER BY string_split(rel_path, '/')) AS role FROM tree GROUP BY ALL) LEFT JOIN {TOP} ON notes.name = lower(value)""")
 def overview_sections(spark: SparkSession, folder: str) -> DataFrame:
-    return questions.overview(tree_of(spark, folder)).where("section IN ('notable_dir', 'language', 'generated_area', 'config_file')")
+    return questions.overview(tree_of(spark, folder))
 
 
 @query(f"WITH {TREE} SELECT root, {DIR.format('rel_path')} AS dir, count(*) AS files, sum(tokens)::BIGINT AS tokens FROM tree GROUP BY ALL")

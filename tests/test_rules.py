@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane import session
 from corvane.extract import script
 from corvane.functions import exprs
-from corvane.operators import budget, graph
+from corvane.operators import budget, graph, sessions
 from corvane.plans import questions
 from corvane.sources import files, logs
 
@@ -119,3 +119,21 @@ def test_stored_tables_are_removed_and_need_a_shared_folder(spark):
 
     with pytest.raises(ValueError):
         session.shared_folder(Cluster)
+
+
+def test_stretches_of_a_session_change_nothing(spark, monkeypatch):
+    pick = random.Random(5)
+    rows = []
+    for s in range(6):
+        for entry in range(pick.choice([1, 7, 40])):
+            for block in range(pick.choice([1, 1, 2])):
+                kind = pick.choice(["call", "edit", "other", "other"])
+                rows.append((f"s{s}", entry, block, pick.choice(["user", "assistant"]), {"call": "Bash", "edit": "Edit"}.get(kind, "Read"), f"tool context --files=d/f{pick.randrange(3)}" if kind == "call" else None, f"f{pick.randrange(3)}", f"t{entry}"))
+    blocks = spark.createDataFrame(rows, "session_id string, entry_idx int, block_idx int, role string, tool string, command string, file string, text string")
+
+    def pack(part):
+        monkeypatch.setattr(sessions, "PART", part)
+        return sorted(str(r.asDict(True)) for r in sessions.analysis_pack(blocks, "tool").collect())
+
+    whole = pack(10_000)
+    assert len(whole) > 20 and pack(4) == whole and pack(1) == whole
