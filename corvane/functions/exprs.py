@@ -128,6 +128,11 @@ def ratio_cut(x: Column) -> Column:
     return (x * 100).cast("bigint") / 100
 
 
+def ratio_round(x: Column) -> Column:
+    """Two decimals, rounded: metrics, unlike capsules."""
+    return F.round(x, 2)
+
+
 def segments(command: Column) -> Column:
     """The commands of a shell line, split at && || ; and line ends, not at a pipe."""
     return F.transform(F.split(F.regexp_replace(command, r"&&|\|\||;", "\n"), "\n"), lambda s: F.trim(s))

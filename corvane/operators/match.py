@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corvane.functions.exprs import base_name
+from corvane.functions.exprs import base_name, directory
 
 # The order in which relations are tried and what each is worth.
 PRIORITY = {"seed": 1, "imports": 2, "importers": 3, "peers": 4, "tests": 5}
@@ -23,6 +24,23 @@ def find(files: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.select("root", "src").distinct(), names.join(both, ["root", "name"], "left_anti")
 
 
+def find_file(files: DataFrame, wanted: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(root, src of files named by relative or absolute path; root, name, problem, suggestions of names that are no file).
+
+    A directory's name is answered with up to ``most`` of the files right in it. wanted: root, name; files may have ``path``.
+    """
+    names = wanted.select("root", F.rtrim("name", F.lit("/")).alias("name")).distinct()
+    known = files.select("root", "rel_path", F.array(F.col("rel_path"), F.col("path") if "path" in files.columns else F.concat_ws("/", "root", "rel_path")).alias("as"))
+    hit = known.select("root", F.col("rel_path").alias("src"), F.explode("as").alias("name")).join(names, ["root", "name"]).select("root", "name", "src").distinct()
+    missed = names.join(hit, ["root", "name"], "left_anti")
+    # of each directory only as many files as are shown are kept
+    inside = files.select("root", directory(F.col("rel_path")).alias("dir"), "rel_path").join(missed.select("root", F.col("name").alias("dir")), ["root", "dir"], "left_semi")
+    ranked = inside.withColumn("_n", F.row_number().over(Window.partitionBy("root", "dir").orderBy(F.split("rel_path", "/")))).where(F.col("_n") <= most)
+    shown = ranked.groupBy("root", F.col("dir").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "rel_path"))), lambda x: x["rel_path"]).alias("suggestions"))
+    told = missed.join(shown, ["root", "name"], "left")
+    return hit.select("root", "src").distinct(), told.select("root", "name", F.when(F.col("suggestions").isNotNull(), "is_directory").otherwise("file_not_found").alias("problem"), F.coalesce("suggestions", F.expr("CAST(array() AS array<string>)")).alias("suggestions"))
+
+
 def tag(seeds: DataFrame, related: DataFrame, files: DataFrame) -> DataFrame:
     """Candidates (root, request, path) with the score of their first matching relation.
 

@@ -575,6 +575,28 @@ def session_analysis_events(spark: SparkSession, folder: str) -> DataFrame:
     return pack.select("session_id", "entry_idx", "edit_after", "turns_to_edit", "turns_to_call", F.array_join("files_edited", ",").alias("files_edited"), "retry_after", F.array_join(F.transform("excerpt", lambda x: x["preview"]), ",").alias("excerpt"))
 
 
+@query(f"""WITH RECURSIVE {shop.CAPSULE}, w2 AS (SELECT request, used, budget, CASE WHEN total > 0 THEN trunc(used * 100.0 / total) / 100 ELSE 0 END::DOUBLE AS ratio FROM counted)
+SELECT 'files ' || request AS scenario_id, 'files' AS suite, 'golden_files' AS kind, EXISTS (SELECT 1 FROM chosen c WHERE c.request = w2.request AND c.included AND c.path = regexp_replace(w2.request, '^[^:]*:', '')) AS passed, 0.0::DOUBLE AS value, '' AS note FROM w2
+UNION ALL SELECT 'never ' || request, 'files', 'golden_files', false, 1.0, '' FROM w2
+UNION ALL SELECT 'budget ' || request, 'budgets', 'budget_compliance', used <= budget, used::DOUBLE, '' FROM w2
+UNION ALL SELECT 'ratio ' || request, 'budgets', 'context_compression', ratio <= 0.9, ratio, '' FROM w2
+UNION ALL SELECT 'same ' || request, 'stable', 'determinism', true, 1.0, '' FROM w2
+UNION ALL SELECT 'symbol ' || request, 'symbols', 'golden_symbols', true, 0.0, '' FROM w2
+UNION ALL SELECT 'other ' || request, 'other', 'golden_tests', false, NULL, 'kind not carried out: golden_tests' FROM w2""")
+def evaluation_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Seven scenarios for the first source file of each directory: of every kind, some that must fail."""
+    graph = shop_graph(spark, folder)
+    src = F.col("src")
+    symbol = F.concat(F.when(F.endswith(src, F.lit(".go")), "S").when(F.endswith(src, F.lit(".cs")), "C").otherwise("f"), F.regexp_extract(src, r"(\d+)\.[a-z]+$", 1))
+    kinds = (("files", "files", "golden_files"), ("never", "files", "golden_files"), ("budget", "budgets", "budget_compliance"), ("ratio", "budgets", "context_compression"), ("same", "stable", "determinism"), ("symbol", "symbols", "golden_symbols"), ("other", "other", "golden_tests"))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("suite"), F.lit(k).alias("kind")) for n, s, k in kinds])).alias("k")
+    scenarios = shop.seeds(graph.files).select("root", "src", each).select(
+        F.concat("k.name", F.lit(" "), "root", F.lit(":"), "src").alias("scenario_id"), "k.suite", "k.kind", "root", F.lit(shop.BUDGET).alias("budget"), F.lit(2).alias("repeat_count"), F.lit(0.9).alias("max_ratio"),
+        F.array(src).alias("seed_files"), F.array(F.when(F.col("k.name") == "never", "nowhere.go").otherwise(src)).alias("expected_files"), F.array(F.lit("go.mod")).alias("forbidden_files"), F.array(symbol).alias("expected_symbols"),
+    )
+    return evaluation.run(graph, scenarios)
+
+
 # --- evaluation --------------------------------------------------------------------------------------------------------
 @query("SELECT l_returnflag AS key, count(DISTINCT l_linestatus || '|' || l_quantity) AS rows_seen, true AS passed FROM lineitem GROUP BY ALL")
 def stable_result_hash(spark: SparkSession, folder: str) -> DataFrame:

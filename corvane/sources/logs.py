@@ -92,6 +92,15 @@ def read_session_blocks(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
+def read_failure(spark: SparkSession, path: str | None = None, text: str | None = None, root: str = "", log_id: str = "log") -> DataFrame:
+    """root, log_id, text of a failure log given by path or as text; text wins."""
+    if not text:
+        if not path:
+            raise ValueError("give a path or a text")
+        return spark.read.text(path, wholetext=True).select(F.lit(root).alias("root"), F.lit(log_id).alias("log_id"), F.col("value").alias("text"))
+    return spark.createDataFrame([(root, log_id, text)], "root string, log_id string, text string")
+
+
 # Patterns of failures and how sure each is.
 FAILURES = (("file", r"([a-zA-Z0-9_/\-.]+\.go):(\d+)", 0.90), ("test", r"--- FAIL:\s+(\S+)", 0.95), ("file", r"File \"([^\"]+\.py)\", line (\d+)", 0.85))
 PANIC = 0.80

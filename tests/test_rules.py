@@ -3,14 +3,15 @@
 import json
 import os
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from corvane import session
+from corvane import session, sinks
 from corvane.extract import script
 from corvane.functions import exprs
-from corvane.operators import budget, graph, sessions
+from corvane.operators import budget, graph, match, sessions
 from corvane.plans import questions
 from corvane.sources import files, logs
 
@@ -137,3 +138,32 @@ def test_stretches_of_a_session_change_nothing(spark, monkeypatch):
 
     whole = pack(10_000)
     assert len(whole) > 20 and pack(4) == whole and pack(1) == whole
+
+
+def test_names_of_files_and_directories(spark):
+    own = tree(spark, {f"d/f{k}.py": "" for k in range(7)} | {"d/e/g.py": "", "a.py": ""})
+    asked = spark.createDataFrame([("r", "a.py"), ("r", "/r/d/f0.py"), ("r", "d/"), ("r", "no.py")], "root string, name string")
+    hit, told = match.find_file(own, asked)
+    assert {r["src"] for r in hit.collect()} == {"a.py", "d/f0.py"}
+    assert {r["name"]: (r["problem"], r["suggestions"]) for r in told.collect()} == {"d": ("is_directory", [f"d/f{k}.py" for k in range(5)]), "no.py": ("file_not_found", [])}
+
+
+def test_packs_runs_and_renderings(spark, tmp_path):
+    pack = spark.createDataFrame([("s", 1)], "session_id string, entry_idx int")
+    assert sinks.latest_pack(str(tmp_path / "none")) is None
+    sinks.save_pack(pack, str(tmp_path), "20240101-000000")
+    last = sinks.save_pack(pack, str(tmp_path), "20240301-000000")
+    assert sinks.latest_pack(str(tmp_path)) == last
+    session_file = tmp_path / "s.jsonl"
+    session_file.write_text("{}\n")
+    with zipfile.ZipFile(sinks.session_zip(last, str(session_file), str(tmp_path / "x.zip"))) as z:
+        assert sorted(z.namelist()) == ["analysis-20240301-000000.json", "s.jsonl"]
+    with zipfile.ZipFile(sinks.session_zip(last, str(tmp_path / "gone"), str(tmp_path / "y.zip"))) as z:
+        assert z.namelist() == ["analysis-20240301-000000.json"]
+    assert sinks.run_id("tests").startswith("tests-") and len(sinks.run_id("tests")) == 14
+    plan = spark.createDataFrame([("go vet", "vet", True, "fast", 1), ("go build", "build", True, "", 0)], "command string, kind string, required boolean, cost string, ord int")
+    shown = sinks.render("verify-plan", plan, spark.createDataFrame([("unknown_build_system",)], "kind string"))
+    assert shown.startswith("# Verification\n\n| ord |") and shown.index("go build") < shown.index("go vet") and shown.endswith("- unknown_build_system\n")
+    log = tmp_path / "fail.log"
+    log.write_text("a.go:1\n")
+    assert logs.read_failure(spark, str(log)).first()["text"] == "a.go:1\n" and logs.read_failure(spark, str(log), "inline").first()["text"] == "inline"
