@@ -40,20 +40,23 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"corvane-checkpoints-{os.getpid()}")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    spark.sparkContext.setCheckpointDir(f"file://{own}")
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 class Stored:
     """Intermediate tables written to the shared folder, so that lineage ends there and a lost executor costs no recomputation.
 
-    Results may still read them, so they stay until ``close``, or ``close_all`` at the end of a job.
+    Results may still read them, so they stay until ``close``, or ``close_all`` at the end of the process at the latest.
     """
 
     made_here: list[Stored] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        if not Stored.made_here:
+            atexit.unregister(Stored.close_all)
+            atexit.register(Stored.close_all)
         Stored.made_here.append(self)
         self.base = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
         self.made = 0
@@ -72,7 +75,10 @@ class Stored:
 
     def close(self) -> None:
         """Remove all of its tables: nothing that reads them may run afterwards."""
-        self.drop(self.base)
+        try:
+            self.drop(self.base)
+        except Exception:  # the session is gone: what lies on this machine can still be removed
+            shutil.rmtree(self.base.removeprefix("file:").replace("///", "/"), ignore_errors=True)
         if self in Stored.made_here:
             Stored.made_here.remove(self)
 

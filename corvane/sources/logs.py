@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import uuid
 import zipfile
 
@@ -49,13 +48,17 @@ def append_calls(records: DataFrame, path: str) -> None:
 
 def replace_log(records: DataFrame, path: str) -> None:
     """Write beside and swap: a reader sees the old or the new log."""
-    beside = f"{path}.{uuid.uuid4().hex}"
+    mark = uuid.uuid4().hex
+    beside, old = f"{path}.{mark}", f"{path}.{mark}.old"
     records.drop("seq").write.json(beside)
-    old = f"{path}.old"
-    if os.path.exists(path):
-        os.rename(path, old)
-    os.rename(beside, path)
-    shutil.rmtree(old, ignore_errors=True)
+    spark = records.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # of whatever kind the path is
+    if store.exists(place(path)) and not store.rename(place(path), place(old)):
+        raise OSError(f"{path} could not be set aside")
+    if not store.rename(place(beside), place(path)):
+        raise OSError(f"{path} could not be replaced; its records are in {old}")
+    store.delete(place(old), True)
 
 
 def export_zip(path: str, target: str) -> str:
