@@ -7,7 +7,7 @@ a document by how far the votes and the model hold it responsible; the raters' e
 Identity terms in labelled sentences are swapped for others and the change of score is penalised, so that the mention of a
 group alone does not raise it; terms are known group words, the usual endings of demonyms, and whatever stands in the same
 frames as those in the labelled sentences. The threshold is the best one on documents held out from the fit, by
-cross-validation. Every document is then scored by its worst sentence; the weights have a fixed number of columns.
+cross-validation, that flags few ok ones (``MOST_FALSE``). Every document is then scored by its worst sentence; the weights have a fixed number of columns.
 
 Undone before scoring: case, accents, look-alike letters, digits for letters, stretched and spaced letters, hidden
 characters; a masked word (``i***t``) is read as the known word that fits best.
@@ -38,6 +38,7 @@ MOST_LABELLED = 20_000  # documents the model is fitted on at most, by hash of t
 MOST_BYTES = 128 << 20  # of their texts together, in the same order
 BAD = ("abusive", "hateful", "sexual")
 FOLDS = 4
+MOST_FALSE = 0.02
 ROUNDS, EPOCHS, SWAP = 5, 50, 1.0
 PENALTIES = (0.3, 1.0)  # of large weights; cross-validation takes the better one
 COLUMNS = 1 << 20
@@ -334,14 +335,18 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED,
 
 
 def best_threshold(scored: np.ndarray, bags: list[Bag]) -> tuple[float, float]:
-    """(the highest F1 on held-out documents, the middle of the thresholds that come within a hundredth of it)."""
+    """(the highest F1 on held-out documents, the middle of the thresholds that come within a hundredth of it).
+
+    Only thresholds count at which no more than ``MOST_FALSE`` of the held-out ok documents are flagged; with few labels
+    that decides. Raters err, so some of those are bad all the same.
+    """
     bad, ok = np.array([b.bad > b.ok for b in bags]), np.array([b.bad < b.ok for b in bags])
     cuts = squash(np.arange(-5.0, 4.0, 0.1))
     hit = np.array([(scored[bad] >= t).sum() for t in cuts])
     wrong = np.array([(scored[ok] >= t).sum() for t in cuts])
-    f1 = 2 * hit / np.maximum(1, hit + wrong + bad.sum())
+    f1 = np.where((wrong <= MOST_FALSE * ok.sum()) | (cuts == cuts[-1]), 2 * hit / np.maximum(1, hit + wrong + bad.sum()), -1.0)
     near = cuts[f1 >= f1.max() - 0.01]
-    return float(f1.max()), float(near[len(near) // 2])
+    return float(f1.max()), float(near[len(near) // 2 if f1.max() > 0 else 0])
 
 
 def learnt(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[Model, float, dict[str, float]]:
