@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from corvane.session import Stored
 
 MOST_LABELLED = 20_000  # files the forest is fitted on at most, by hash of the id
-THRESHOLD = 0.62
+THRESHOLD = 0.66
 RELIABLE = 0.5  # files without a foreign notice that a fit scores from here on are no negatives of the next
 UNLABELLED_WEIGHT = 0.25
 CLEANINGS = 2
