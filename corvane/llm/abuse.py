@@ -355,6 +355,7 @@ def learnt(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
     bags = labelled(documents, labels, most)
     if not any(b.bad > b.ok for b in bags) or not any(b.bad < b.ok for b in bags):
         return EMPTY, 1.0, {}
+    fold_of = np.random.default_rng(0).permutation(len(bags)) % FOLDS
     shared = spark.sparkContext.broadcast(bags)  # bounded by ``most`` and ``MOST_BYTES``
     schema = pa.schema([("task", pa.int64()), ("numbers", pa.list_(pa.float64())), ("columns", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), ("values", pa.list_(pa.float64()))])
 
@@ -362,8 +363,8 @@ def learnt(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
         for batch in batches:
             for task in batch.column(0).to_pylist():
                 own, fold = shared.value, task % FOLDS
-                model = fit([b for k, b in enumerate(own) if k % FOLDS != fold], PENALTIES[task // FOLDS])
-                yield pa.RecordBatch.from_pylist([{"task": task, "numbers": model.scores([b.text for b in own[fold::FOLDS]]).tolist(), "columns": [], "words": [], "values": []}], schema=schema)
+                model = fit([b for b, at in zip(own, fold_of) if at != fold], PENALTIES[task // FOLDS])
+                yield pa.RecordBatch.from_pylist([{"task": task, "numbers": model.scores([b.text for b, at in zip(own, fold_of) if at == fold]).tolist(), "columns": [], "words": [], "values": []}], schema=schema)
 
     form = "task bigint, numbers array<double>, columns array<bigint>, words array<string>, values array<double>"
     tasks = FOLDS * len(PENALTIES)
@@ -372,7 +373,7 @@ def learnt(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
     for p in range(len(PENALTIES)):
         scored = np.zeros(len(bags))
         for fold in range(FOLDS):
-            scored[fold::FOLDS] = held[p * FOLDS + fold]
+            scored[fold_of == fold] = held[p * FOLDS + fold]
         trials.append((*best_threshold(scored, bags), p, scored))
     _, threshold, best, scored = max(trials, key=lambda t: (t[0], t[2]))
     penalty = PENALTIES[best]
