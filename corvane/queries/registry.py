@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,6 +55,15 @@ def graph_of(spark: SparkSession, folder: str) -> g.Graph:
     return g.build(tree_of(spark, folder))
 
 
+def trees(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshots of the files table and, where the star schema is there, its trees."""
+    own = tree_of(spark, folder).select("root", "rel_path", "language", "role", "tokens", "text")
+    try:
+        return own.unionByName(shop.files(spark, folder))
+    except AnalysisException:
+        return own
+
+
 def shop_graph(spark: SparkSession, folder: str) -> g.Graph:
     return g.build(shop.files(spark, folder))
 
@@ -280,13 +290,20 @@ def members_go(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {shop.GRAPH} SELECT root, unit AS unit_id, path, test FROM csmem")
 def members_csharp(spark: SparkSession, folder: str) -> DataFrame:
-    return units.csharp_units(shop.files(spark, folder)).unit_files.select("root", "unit_id", "path", "test")
+    """Every C# file with its project; the files table has no projects."""
+    return units.csharp_units(trees(spark, folder)).unit_files.select("root", "unit_id", "path", "test")
 
 
-@query(f"WITH {shop.GRAPH} SELECT root, u AS src_unit, v AS dst_unit, kind FROM ue")
+@query(f"""WITH {TREE}, {shop.GRAPH},
+gd AS (SELECT root, rel_path, {DIR.format("rel_path")} AS d, text FROM tree WHERE language = 'Go'),
+gu AS (SELECT DISTINCT root, d, regexp_extract(root, '^([^@]*)', 1) || CASE WHEN d = '.' THEN '' ELSE '/' || d END AS unit FROM gd),
+gb AS (SELECT root, d, unnest(list_concat(regexp_extract_all(text, '(?ms)^import\\s*\\(([^)]*)\\)', 1), regexp_extract_all(text, '(?m)^import\\s+((?:[\\w.]+\\s+)?"[^"\\n]+")', 1))) AS block FROM gd WHERE text IS NOT NULL AND NOT ends_with(rel_path, '_test.go')),
+gi AS (SELECT root, d, unnest(regexp_extract_all(block, '"([^"\\n]+)"', 1)) AS spec FROM gb)
+SELECT root, u AS src_unit, v AS dst_unit, kind FROM ue
+UNION ALL SELECT DISTINCT gi.root, a.unit, b.unit, 'go' FROM gi JOIN gu a ON a.root = gi.root AND a.d = gi.d JOIN gu b ON b.root = gi.root AND b.unit = gi.spec WHERE a.unit <> b.unit""")
 def unit_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Imports between all packages and projects; importers are the same rows read backwards."""
-    files = shop.files(spark, folder)
+    files = trees(spark, folder)
     groups = (("go", units.go_units(files)), ("csproj", units.csharp_units(files)))
     parts = [group.unit_edges.select("root", "src_unit", "dst_unit", F.lit(kind).alias("kind")) for kind, group in groups]
     return parts[0].unionByName(parts[1])
@@ -304,8 +321,8 @@ def tsconfig_aliases(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {shop.GRAPH} SELECT root, src, dst, 'imports' AS relation, source_tool, 'heuristic' AS authority FROM fe")
 def file_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Imports between all files of languages whose edges are files'."""
-    return shop_graph(spark, folder).edges
+    """Imports between all files of languages whose edges are files'; those of the files table lead out of their snapshots."""
+    return g.build(trees(spark, folder)).edges
 
 
 @query(f"WITH {shop.GRAPH} SELECT root, 'imports' AS relation, source_tool, 'heuristic' AS authority, count(*) AS edges FROM fe GROUP BY ALL")
