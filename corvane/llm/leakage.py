@@ -45,6 +45,8 @@ STOCK_ITEMS = 3
 WIDTH = 8  # of a cell of offsets; inside one passage the allowed edits move an offset by no more than half of it
 MOST_ITEM_BYTES = 64 << 20  # the held-out set is gathered on the driver and sent to every task; larger ones are to be given in parts
 SHARD, SHARD_WORDS = 512, 400_000  # documents and words of a shard at most; a longer document is a shard of its own
+GROUP = 4  # shards of a row group of the stored index: what a task holds of it at once, however many shards it reads
+MOST_POSTINGS = 1 << 19  # looked up at once in a shard; items with more are gone through in turns
 STOCK = -1  # in place of words of stock instructions
 
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.DOTALL)
@@ -134,6 +136,11 @@ def build(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return known.select(F.col(doc_id).cast("bigint"), text).mapInArrow(run, INDEX)
 
 
+def stored(documents: DataFrame) -> DataFrame:
+    """The index of documents with doc_id and text, written to the shared folder and read back."""
+    return Stored(documents.sparkSession).table(build(documents), group_rows=GROUP)[0]
+
+
 class Shard:
     """A row of the index: posting lists by term, and documents read back in order where a match is to be decided."""
 
@@ -272,7 +279,7 @@ def leaks(index: DataFrame, items: DataFrame, least: int = LEAST, one_in: int =
             for row in range(batch.num_rows):
                 own = Shard(batch, row)
                 rows = []
-                for holder, item, ranges in candidates(own, asked, SEEDS_PER_WINDOW - most, least):
+                for holder, item, ranges in (c for part in turns(own, asked) for c in candidates(own, part, SEEDS_PER_WINDOW - most, least)):
                     doc, words_ = own.document(holder), asked.items[item]
                     starts = [s for s in ranges if promising(words_, doc, s, least, one_in)]
                     slack = len(words_) // one_in + WIDTH
@@ -285,6 +292,18 @@ def leaks(index: DataFrame, items: DataFrame, least: int = LEAST, one_in: int =
     return index.mapInArrow(run, form)
 
 
+def turns(own: Shard, asked: Wanted) -> Iterator[Wanted]:
+    """The lookups in parts of whole items that have about ``MOST_POSTINGS`` postings in a shard at most, or one item each."""
+    held = np.bincount(asked.owners, own.places(asked.terms)[1], len(asked.ids)).cumsum()
+    if not len(held) or held[-1] <= MOST_POSTINGS:
+        yield asked
+        return
+    turn = ((held - 1) // MOST_POSTINGS)[asked.owners]
+    order = np.argsort(turn, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(turn[order])) + 1):
+        yield asked._replace(terms=asked.terms[rows], owners=asked.owners[rows], offsets=asked.offsets[rows])
+
+
 def candidates(own: Shard, asked: Wanted, enough: int, least: int) -> Iterator[tuple[int, int, list[int]]]:
     """(document, item, first offsets of cells) where that many looked-up positions of one window of the item agree on an offset."""
     which, at = own.postings(asked.terms)
@@ -388,5 +407,4 @@ def phrases(index: DataFrame, texts: list[str], within: int = 0) -> DataFrame:
 
 def found(documents: DataFrame, items: DataFrame, least: int = LEAST, one_in: int = ONE_IN) -> DataFrame:
     """(doc_id, item_id): the document holds a passage of the item."""
-    index, _ = Stored(documents.sparkSession).table(build(documents))
-    return leaks(index, items, least, one_in).select("doc_id", "item_id")
+    return leaks(stored(documents), items, least, one_in).select("doc_id", "item_id")

@@ -141,3 +141,31 @@ def test_shards_of_any_size_give_the_same(spark, monkeypatch):
     index = leakage.build(table)
     assert index.count() > 10
     assert {r["doc_id"] for r in leakage.leaks(index, items).collect()} == {k for k, _ in docs if k % 3}
+
+
+def test_stored_index_is_read_in_small_parts(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = [(k, f"a b c word{k}") for k in range(3 * leakage.SHARD * leakage.GROUP)]
+    index = leakage.stored(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1))
+    parts = [pq.ParquetFile(f).metadata for name in index.inputFiles() for f in glob.glob(name.removeprefix("file:").replace("///", "/"))]
+    groups = [m.row_group(k).num_rows for m in parts for k in range(m.num_row_groups)]
+    assert sum(groups) == 3 * leakage.GROUP and max(groups) <= leakage.GROUP
+
+
+def test_lookups_in_turns_give_the_same(spark, monkeypatch):
+    base = [f"word{k}" for k in range(90)]
+    docs = [(k, " ".join(base[k : k + 40])) for k in range(20)]
+    items = spark.createDataFrame([(k, " ".join(base[7 * k : 7 * k + 30])) for k in range(8)], "item_id bigint, text string")
+    index = leakage.build(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1))
+    whole = sorted(map(tuple, leakage.leaks(index, items).collect()))
+    monkeypatch.setattr(leakage, "MOST_POSTINGS", 300)
+    held_out = leakage.wanted(index, items, leakage.LEAST, leakage.ONE_IN)
+    own = leakage.Shard(index.toArrow().to_batches()[0], 0)
+    parts = list(leakage.turns(own, held_out))
+    assert len(parts) > 1 and sum(len(p.terms) for p in parts) == len(held_out.terms)
+    assert not any(set(a.owners) & set(b.owners) for k, a in enumerate(parts) for b in parts[:k])
+    assert sorted((own.docs[d], held_out.ids[i]) for p in parts for d, i, _ in leakage.candidates(own, p, leakage.SEEDS_PER_WINDOW - 4, leakage.LEAST)) == sorted((own.docs[d], held_out.ids[i]) for d, i, _ in leakage.candidates(own, held_out, leakage.SEEDS_PER_WINDOW - 4, leakage.LEAST))
+    assert whole == sorted(map(tuple, leakage.leaks(index, items).collect())) and whole
