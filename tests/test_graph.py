@@ -122,3 +122,18 @@ def test_evaluation(spark):
     got = evaluation.golden(included, scenarios)
     assert {r["scenario_id"]: r["passed"] for r in got.collect()} == {"s1": True, "s2": False, "s3": True}
     assert evaluation.summary(got).first()["score"] == pytest.approx(2 / 3)
+
+
+def test_many_requests_over_one_unit_store_no_pairs(spark, monkeypatch):
+    from corvane.session import Stored
+
+    rows = [("r", "go.mod", "", "other", "module x")] + [("r", f"p/f{k:02}.go", "Go", "source", "package p") for k in range(40)]
+    graph = g.build(spark.createDataFrame(rows, "root string, rel_path string, language string, role string, text string").withColumn("tokens", F.lit(2)))
+    asked = spark.createDataFrame([("r", f"q{k}", f"p/f{k:02}.go", 11) for k in range(40)], "root string, request string, name string, budget int")
+    made, table = [], Stored.table
+    monkeypatch.setattr(Stored, "table", lambda self, df, *a, **k: made.append(table(self, df, *a, **k)) or made[-1])
+    got = context.context(graph, asked)
+    # itself, and four of the other 39 in order of their paths
+    assert {(r["considered"], r["included"], r["used"], r["total"], r["edges_scanned"]) for r in got.summary.collect()} == {(40, 5, 10, 80, 39)}
+    assert [r["rel_path"] for r in got.rows.where("request = 'q2'").orderBy("rank").collect()] == ["p/f02.go", "p/f00.go", "p/f01.go", "p/f03.go", "p/f04.go"]
+    assert max(df.count() for df, _ in made) < 300
